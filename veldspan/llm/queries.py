@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspan.llm import decontaminate, lengths, lines, mixing, quality, tokenstore
+from veldspan.llm import decontaminate, lengths, lines, mixing, quality, secretscan, simhash, substrings, tokenstore
 from veldspan.llm.common import documents
 from veldspan.workspace import Workspace
 
@@ -30,14 +30,38 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_back(spark, path)
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secretscan.secrets(documents(spark, sf_dir))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secretscan.BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, secretscan.BASE)
+    return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(documents(spark, sf_dir), vocabulary())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.SubstringIndex(spark).dedup(documents(spark, sf_dir), add=False)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = lines.LineIndex(spark, threshold=10).insert(docs).dedup(docs)
@@ -51,5 +75,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_store, op4_source_mix, op6_token_counts, op9_line_dedup, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_token_store, op3_simhash_dedup, op4_source_mix, op5_secret_scan,
+        op6_token_counts, op7_substring_dedup, op9_line_dedup, op10_decontaminate,
+    )
 }

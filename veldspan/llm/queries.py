@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspan.llm import decontaminate, lengths, lines, mixing, quality, secretscan, simhash, substrings, tokenstore
+from veldspan.llm import decontaminate, lengths, lines, mixing, quality, secretscan, simhash, substrings, surrogates, tokenstore
 from veldspan.llm.common import documents
 from veldspan.workspace import Workspace
 
@@ -62,6 +62,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymize(documents(spark, sf_dir), "production key")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = lines.LineIndex(spark, threshold=10).insert(docs).dedup(docs)
@@ -78,6 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_token_store, op3_simhash_dedup, op4_source_mix, op5_secret_scan,
-        op6_token_counts, op7_substring_dedup, op9_line_dedup, op10_decontaminate,
+        op6_token_counts, op7_substring_dedup, op8_pii_surrogates, op9_line_dedup, op10_decontaminate,
     )
 }

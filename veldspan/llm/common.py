@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veldspan.workspace import Workspace
 
 #: White space of the contracts: [\x20\x09-\x0D], what bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def numbered(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """``docs`` written with a row number ``__row``, so that rows of equal or null key can be told apart."""
+    return ws.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches, by rows and bytes, for the session's Python stages."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldspan.llm.common import numbered
 from veldspan.workspace import Workspace
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,13 +81,13 @@ def decontaminate(
     windows = ws.save(windows_of(items, item_key, item_text, width), "windows")
     counts = count_words(own, "text", windows.select(F.explode("words").alias("word")).distinct(), max_literals)
     prefixes = ws.save(_prefixes(windows, counts), "prefixes")
-    numbered = own.withColumn("row", F.monotonically_increasing_id()).withColumn("w", words_of(F.col("text")))
+    rows = own.withColumn("row", F.monotonically_increasing_id()).withColumn("w", words_of(F.col("text")))
     rare = _few(prefixes, "word", max_literals)
     hits = None
     if rare is not None:
-        base, hits = _hits_in_context(ws, numbered, prefixes, rare, width)
+        base, hits = _hits_in_context(ws, rows, prefixes, rare, width)
     else:
-        base, hits = _hits_by_join(ws, numbered, prefixes)
+        base, hits = _hits_by_join(ws, rows, prefixes)
     hits = ws.save(hits, "hits")
     spans = F.collect_set(F.struct("start", "length"))  # within one document
     marked = hits.groupBy("row").agg(spans.alias("spans"))
@@ -103,16 +104,24 @@ def decontaminate(
     )
 
 
-def _hits_in_context(ws: Workspace, numbered: DataFrame, prefixes: DataFrame, rare: list[str], width: int) -> tuple[DataFrame, DataFrame]:
+def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, as they are."""
+    ws = Workspace(docs.sparkSession, "decontaminated")
+    rows = numbered(docs, ws)
+    bad = ws.save(decontaminate(rows, items, **how | {"key": "__row"}).where("contaminated").select("__row"), "bad")
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+
+
+def _hits_in_context(ws: Workspace, rows: DataFrame, prefixes: DataFrame, rare: list[str], width: int) -> tuple[DataFrame, DataFrame]:
     """One pass over the texts keeps, of each document, the words around each prefix word."""
     at = F.array_compact(F.transform("w", lambda w, i: F.when(w.isin(rare), i))) if rare else F.array().cast("array<int>")
-    numbered = numbered.withColumn("at", at)
+    rows = rows.withColumn("at", at)
 
     def around(i: Column) -> Column:
         first = F.greatest(i - (width - 1), F.lit(0))
         return F.struct(i.alias("pos"), first.alias("first"), F.slice("w", first + 1, 2 * width - 1).alias("near"))
 
-    table = ws.save(numbered.select("row", "key", F.size("w").cast("long").alias("n_words"), F.transform("at", around).alias("around")), "around")
+    table = ws.save(rows.select("row", "key", F.size("w").cast("long").alias("n_words"), F.transform("at", around).alias("around")), "around")
     near = table.select("row", F.explode("around").alias("c")).select("row", "c.*")
     near = near.withColumn("word", F.element_at("near", F.col("pos") - F.col("first") + 1))
     pairs = near.join(prefixes, "word")
@@ -124,9 +133,9 @@ def _hits_in_context(ws: Workspace, numbered: DataFrame, prefixes: DataFrame, ra
     return table.select("row", "key", "n_words"), hits.distinct()
 
 
-def _hits_by_join(ws: Workspace, numbered: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _hits_by_join(ws: Workspace, rows: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every word of every document meets the prefixes in a shuffle; candidates meet their text again."""
-    table = ws.save(numbered.select("row", "key", F.size("w").cast("long").alias("n_words"), "w"), "words")
+    table = ws.save(rows.select("row", "key", F.size("w").cast("long").alias("n_words"), "w"), "words")
     words = table.select("row", "n_words", F.posexplode("w").alias("pos", "word"))
     start = F.col("pos") - F.col("offset")
     pairs = words.join(prefixes, "word").where((start >= 0) & (start + F.size("words") <= F.col("n_words")))

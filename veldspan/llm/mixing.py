@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspan.llm.common import WORD
+from veldspan.llm.common import WORD, numbered
 from veldspan.workspace import Workspace
 
 #: Buckets of the exponential keys within a source.
@@ -112,6 +112,16 @@ def mix(
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "epochs", "selected", taken.alias("taken"))
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix has them: each row once for each epoch, and once more if it is selected."""
+    ws = Workspace(docs.sparkSession, "mixed")
+    rows = numbered(docs, ws)
+    taken = mix(rows, **how | {"key": "__row"}).select("__row", (F.col("epochs") + F.col("selected").cast("long")).alias("__copies"))
+    taken = ws.save(taken.where("__copies > 0"), "taken")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))
+    return rows.join(taken, "__row").withColumn("__copy", each).select(*docs.columns)
+
+
 def _each_copy(rows: DataFrame, at_once: int = 1 << 16) -> DataFrame:
     """A row for each of ``copies``, numbered by ``copy``; many copies are dealt out in blocks."""
     last = F.col("copies") - 1

@@ -100,10 +100,13 @@ def measure(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     """``keep`` columns and the statistics of each whole text."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
+    at = keep.index(text) if text in keep else len(keep)  # a text that is kept isn't sent twice
+
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        return batch(**{c: b.column(c) for c in keep}, **_measure(raw(b.column("__text"))))
+        return batch(**{c: b.column(c) for c in keep}, **_measure(raw(b.column(at))))
 
-    return arrow_map(docs.select(*keep, F.col(text).alias("__text")), each, f"{fields}, {STATS}")
+    own = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("__text"))
+    return arrow_map(own, each, f"{fields}, {STATS}")
 
 
 def bucket(value: F.Column) -> F.Column:
@@ -180,28 +183,22 @@ def thresholds(sketches: DataFrame, groups: list[str], rules: tuple[Rule, ...],
     return fences.groupBy(*groups).agg(*out)
 
 
-def quality(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), rules: tuple[Rule, ...] = RULES,
-    reach: float = 3.0, min_group: int = 100, min_words: int = 50, max_repeat_percent: int = 50,
+def _verdicts(
+    ws: Workspace, measured: DataFrame, groups: list[str], rules: tuple[Rule, ...] = RULES, reach: float = 3.0, min_group: int = 100,
+    min_words: int = 50, max_repeat_percent: int = 50,
 ) -> DataFrame:
-    """Each row's statistics, ``base_failed``, ``failed_rules`` and ``kept``.
-
-    Thresholds are learnt from the documents that pass the base rules and lie
-    ``reach`` spreads beyond a group's quartiles.
-    """
-    ws = Workspace(docs.sparkSession, "quality")
-    own = docs.select(F.col(key).alias("key"), *(F.col(g).alias(f"g{i}") for i, g in enumerate(groups)), F.col(text).alias("text"))
-    names = [f"g{i}" for i in range(len(groups))]
-    stats = ws.save(measure(own, "text", "key", *names), "stats")
+    """``measured`` with ``base_failed``, ``failed_rules`` and ``kept``."""
+    stats = ws.save(measured, "stats")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
     metrics = {r.metric: F.expr(r.value) for r in rules}
-    fences = thresholds(sketch(stats.where("NOT base_failed"), names, metrics), names, rules, reach, min_group)
+    fences = thresholds(sketch(stats.where("NOT base_failed"), groups, metrics), groups, rules, reach, min_group)
     fences = ws.save(fences, "fences")
     on = F.lit(True)
-    for g in names:
+    for g in groups:
         on &= F.col(f"s.{g}").eqNullSafe(F.col(f"f.{g}"))
-    rows = stats.alias("s").join(fences.alias("f"), on, "left")
+    bounds = [c for c in fences.columns if c not in groups]
+    rows = stats.alias("s").join(fences.alias("f"), on, "left").select("s.*", *bounds)
     broken = []
     for r in rules:
         beyond = F.lit(False)
@@ -210,9 +207,27 @@ def quality(
         if r.high:
             beyond |= metrics[r.metric] > F.col(f"high_{r.metric}")
         broken.append(F.when(~F.col("base_failed") & beyond, F.lit(r.metric)))
-    rows = rows.withColumn("failed_rules", F.concat_ws(",", *broken))
-    return rows.select(
-        F.col("key").alias(key), *(F.col(f"s.{n}").alias(g) for n, g in zip(names, groups, strict=True)),
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "failed_rules",
-        (~F.col("base_failed") & (F.col("failed_rules") == "")).alias("kept"),
-    )
+    rows = rows.withColumn("failed_rules", F.concat_ws(",", *broken)).drop(*bounds)
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
+
+
+def quality(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), **rules) -> DataFrame:
+    """Each row's ``key``, groups, statistics, ``base_failed``, ``failed_rules`` and ``kept``.
+
+    Thresholds are learnt from the documents that pass the base rules and lie
+    ``reach`` spreads beyond a group's quartiles.
+    """
+    names = [f"g{i}" for i in range(len(groups))]
+    own = docs.select(F.col(key).alias("key"), *(F.col(g).alias(n) for g, n in zip(groups, names, strict=True)), F.col(text).alias("text"))
+    rows = _verdicts(Workspace(docs.sparkSession, "quality"), measure(own, "text", "key", *names), names, **rules)
+    out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "failed_rules", "kept")
+    return rows.select(F.col("key").alias(key), *(F.col(n).alias(g) for n, g in zip(names, groups, strict=True)), *out)
+
+
+def keep(docs: DataFrame, *, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), **rules) -> DataFrame:
+    """The rows of ``docs`` that pass all rules, as they are."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names, strict=True))
+    measured = measure(docs.toDF(*names), of[text], *names)
+    rows = _verdicts(Workspace(docs.sparkSession, "quality"), measured, [of[g] for g in groups], **rules)
+    return rows.where("kept").select(*(F.col(n).alias(c) for c, n in of.items()))

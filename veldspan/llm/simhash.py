@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspan.components import connected_components
-from veldspan.llm.common import arrow_map, batch, bounded_batches, raw
+from veldspan.llm.common import arrow_map, batch, bounded_batches, numbered, raw
 from veldspan.workspace import Workspace
 
 #: Fingerprints of a bucket, at most.
@@ -227,3 +227,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     by_fp = named.select("fp", "component").join(ids, "component").select("fp", "component_id")
     out = rows.join(by_fp, "fp")
     return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of ``docs`` of each linked group: that of the smallest key, then of the smallest row number; null keys last."""
+    ws = Workspace(docs.sparkSession, "simhash-dedup")
+    rows = numbered(docs, ws)
+    order = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col("__row").alias("row"))
+    found = near_duplicates(rows.select(order.alias("k"), F.col(text).alias("t")), key="k", text="t", **how)
+    gone = ws.save(found.where("k <> component_id").select(F.col("k.row").alias("__row")), "gone")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)

@@ -1,2 +1,60 @@
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus from raw documents: quality, near-duplicates, benchmark leaks, mixture, token shards."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from veldspan.llm import decontaminate, mixing, quality, simhash, tokenstore
+from veldspan.llm.common import documents
+from veldspan.llm.queries import vocabulary
+from veldspan.workspace import Workspace
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or lie beyond their group's thresholds go."""
+    return quality.keep(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat, or go, as the sources' targets ask."""
+    return mixing.mixed(docs)
+
+
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in binary shards; the records as they read back."""
+    path = Workspace(spark, "pipeline-tokens").path
+    tokenstore.write(docs, path, vocabulary())
+    return tokenstore.read_back(spark, path)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", simhash_dedup),
+    ("benchmark decontamination", decontamination),
+    ("source mix", source_mix),
+    ("token shards", token_shards),
+]
+
+#: SQL has neither the fingerprints' hash nor the tokenizer; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written before the next reads them."""
+    ws, docs = Workspace(spark, "pipeline"), documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = ws.save(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs

@@ -1,0 +1 @@
+"""Column expressions: references, confidence, formats."""

@@ -1,0 +1 @@
+"""Operators over frames of rows (see ``veldspan.schema``)."""

@@ -162,7 +162,7 @@ ORACLES: dict[str, str] = {
     "component_sizes_all": sql("sizes", "SELECT array_to_string(prefixes, ',') AS prefixes, n FROM sizes"),
     "coverage_sizes": sql("psizes", "SELECT k::INT AS n_prefixes, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT unnest(range(1, (SELECT max(len(prefixes)) FROM psizes) + 1)) AS k UNION SELECT len(prefixes) FROM psizes) LEFT JOIN psizes ON len(prefixes) = k GROUP BY k"),
     "prioritize": sql("star f", f"SELECT DISTINCT s_prefix, s_id, '{_IS}' AS p, o_prefix, o_id FROM star"),
-    "prioritize_df": sql("star", """SELECT o_orderkey, c AS curie, coalesce(concat(star.o_prefix, ':', star.o_id), norm, c) AS curie_prioritized FROM
+    "prioritize_df": sql("star", """SELECT o_orderkey, c AS curie, coalesce(star.o_prefix || ':' || star.o_id, norm, c) AS curie_prioritized FROM
  (SELECT o_orderkey, c, CASE WHEN c LIKE 'DO:%' THEN concat('doid:', substr(c, 4)) WHEN c LIKE 'doid:%' THEN c END AS norm FROM
  (SELECT o_orderkey, CASE o_orderkey % 11 WHEN 0 THEN 'no reference' WHEN 1 THEN concat('DO:', CAST(o_orderkey // 4 AS VARCHAR), '-0') ELSE concat('doid:', CAST(o_orderkey // 4 AS VARCHAR), '-', CAST(o_custkey % 2 AS VARCHAR)) END AS c FROM orders))
  LEFT JOIN star ON norm = concat(s_prefix, ':', s_id)"""),
@@ -185,4 +185,52 @@ ORACLES: dict[str, str] = {
  (SELECT unnest(range(1, (SELECT max(len(prefixes)) FROM psizes) + 1)) AS k UNION SELECT len(prefixes) FROM psizes)
  LEFT JOIN (SELECT len(prefixes) AS k, n FROM psizes UNION ALL SELECT 1, count(*) FROM (SELECT * FROM exact WHERE prefix IN (SELECT prefix FROM prio) EXCEPT SELECT * FROM observed)) USING (k) GROUP BY k"""),
     "full_pipeline": sql("done", f"SELECT {_T}, round(confidence, 5) AS confidence, n_evidence::BIGINT AS n_evidence FROM done"),
+    "triple_ids": sql("ids", f"SELECT {_T}, tid FROM ids"),
+    "concept_nodes": sql("observed star f", """SELECT concat(prefix, ':', id) AS curie, prefix, CASE WHEN id LIKE '%-0' THEN concat('concept ', prefix, ':', id) ELSE '' END AS name,
+ (prefix, id) IN (SELECT (o_prefix, o_id) FROM star) AS priority FROM observed UNION ALL SELECT DISTINCT concat('orcid:', author), 'orcid', '', false FROM f"""),
+    "mapping_nodes": sql("e sets ids", f"""SELECT tid AS curie, 'mapping' AS prefix, p AS predicate, round(1 - product(1 - confidence) FILTER (WHERE confidence <> 0), 5) AS confidence,
+ coalesce(bool_or(source = s_prefix), false) AS primary, coalesce(bool_or(source <> s_prefix), false) AS secondary, false AS tertiary FROM e JOIN ids USING ({_T}) LEFT JOIN sets USING (ms_id) GROUP BY tid, p"""),
+    "evidence_nodes": sql("e", "SELECT 'sssom.record' AS prefix, 'simple' AS type, justification AS mapping_justification, round(CASE WHEN confidence <> 0 THEN confidence END, 5) AS confidence FROM e"),
+    "mapping_set_nodes": sql("sets", "SELECT concat('mappingset:', md5(ms_id)) AS curie, 'mappingset' AS prefix, ms_id AS id, title, CASE ms_id WHEN 'set-O' THEN 'https://creativecommons.org/publicdomain/zero/1.0/' ELSE '' END AS license, CASE ms_id WHEN 'set-O' THEN '1' ELSE '' END AS version, coalesce(CAST(set_confidence AS DOUBLE), 1.0) AS confidence FROM sets"),
+    "mapping_edges": sql("e sets", f"""SELECT concat(s_prefix, ':', s_id) AS start, p AS type, concat(o_prefix, ':', o_id) AS "end", round(1 - product(1 - confidence) FILTER (WHERE confidence <> 0), 5) AS confidence,
+ coalesce(bool_or(source = s_prefix), false) AS primary, coalesce(bool_or(source <> s_prefix), false) AS secondary, false AS tertiary, string_agg(DISTINCT title, '|' ORDER BY title) AS mapping_sets FROM e LEFT JOIN sets USING (ms_id) GROUP BY {_T}"""),
+    "annotated_edges": sql("ids", """SELECT tid AS start, 'owl:annotatedSource' AS type, concat(s_prefix, ':', s_id) AS "end" FROM ids UNION ALL SELECT tid, 'owl:annotatedTarget', concat(o_prefix, ':', o_id) FROM ids"""),
+    "edge_counts": sql("t e", """SELECT unnest(['owl:annotatedSource', 'owl:annotatedTarget', 'hasEvidence', 'fromSet', 'hasAuthor']) AS type,
+ unnest([(SELECT count(*) FROM t), (SELECT count(*) FROM t), (SELECT count(*) FROM e), (SELECT count(*) FROM e), (SELECT count(*) FROM e)]) AS n"""),
+    "derived_edges": sql("t ids flips stems", f"""SELECT concat('mapping:', sha256(concat(c.stem, o_id, ' ', b.stem, split_part(q, ':', 2), ' ', a.stem, s_id))) AS mapping, tid AS source
+ FROM ids JOIN flips USING (p) JOIN stems a ON a.prefix = s_prefix JOIN stems b ON b.prefix = split_part(q, ':', 1) JOIN stems c ON c.prefix = o_prefix"""),
+    "sssom_rows": sql("e", """SELECT concat(s_prefix, ':', s_id) AS subject_id, CASE WHEN s_id LIKE '%-0' AND s_prefix <> 'umls' THEN concat('concept ', s_prefix, ':', s_id) END AS subject_label, p AS predicate_id,
+ concat(o_prefix, ':', o_id) AS object_id, CASE WHEN o_id LIKE '%-0' AND o_prefix <> 'umls' THEN concat('concept ', o_prefix, ':', o_id) END AS object_label, justification AS mapping_justification,
+ round(row_confidence, 5) AS confidence, CASE ms_id WHEN 'set-O' THEN 'https://creativecommons.org/publicdomain/zero/1.0/' END AS license, concat('orcid:', author) AS author_id, CAST(NULL AS VARCHAR) AS comment, CAST(NULL AS VARCHAR) AS derived_from FROM e"""),
+    "digraph": sql("t", "SELECT s_prefix, s_id, o_prefix, o_id, string_agg(p, '|' ORDER BY p) AS predicates FROM t GROUP BY s_prefix, s_id, o_prefix, o_id"),
+    "negative_pairs": sql("neg", f"SELECT concat(s_prefix, ':', s_id) AS a, concat(o_prefix, ':', o_id) AS b FROM neg WHERE p = '{_IS}' UNION SELECT concat(o_prefix, ':', o_id), concat(s_prefix, ':', s_id) FROM neg WHERE p = '{_IS}'"),
+    "predicate_counts": sql("t", "SELECT p AS predicate, count(*) AS n FROM t GROUP BY p"),
+    "justification_counts": sql("e", "SELECT split_part(justification, ':', 2) AS justification, count(*) AS n FROM e GROUP BY 1"),
+    "evidence_type_counts": sql("e", "SELECT 'simple' AS type, count(*) AS n FROM e"),
+    "mapping_set_counts": sql("e sets", "SELECT concat('mappingset:', md5(ms_id)) AS curie, title, count(*) AS n FROM e JOIN sets USING (ms_id) GROUP BY ms_id, title"),
+    "concept_counts": sql("observed", "SELECT prefix, count(*) AS n, CASE prefix WHEN 'doid' THEN 'Human Disease Ontology' WHEN 'mesh' THEN 'Medical Subject Headings' WHEN 'umls' THEN 'Unified Medical Language System' WHEN 'efo' THEN 'Experimental Factor Ontology' ELSE 'NCI Thesaurus' END AS name FROM observed GROUP BY prefix"),
+    "author_counts": sql("e", "SELECT concat('orcid:', author) AS curie, count(*) AS n, '' AS name FROM e GROUP BY author"),
+    "node_counts": sql("e t observed star", """SELECT unnest(['Evidences', 'Mappings', 'Mapping Sets', 'Concepts', 'Equivalence Classes']) AS label,
+ unnest([(SELECT count(*) FROM e), (SELECT count(*) FROM t), 2, (SELECT count(*) FROM observed) + (SELECT count(DISTINCT author) FROM e), (SELECT count(*) FROM (SELECT DISTINCT o_prefix, o_id FROM star))]) AS n"""),
+    "highest_exact": sql("xe star", """SELECT curie, CASE WHEN curie LIKE '%-0' THEN concat('concept ', curie) ELSE '' END AS name, n FROM
+ (SELECT concat(s_prefix, ':', s_id) AS curie, count(*) AS n FROM xe WHERE (s_prefix, s_id) IN (SELECT (o_prefix, o_id) FROM star) GROUP BY 1 ORDER BY n DESC, curie LIMIT 10)"""),
+    "autocomplete": sql("observed f", """SELECT curie, name FROM (SELECT *, string_split_regex(lower(concat(name, ' ', curie)), '[\\s:]+') AS words FROM
+ (SELECT concat(prefix, ':', id) AS curie, CASE WHEN id LIKE '%-0' THEN concat('concept ', prefix, ':', id) ELSE '' END AS name FROM observed UNION ALL SELECT DISTINCT concat('orcid:', author), '' FROM f))
+ WHERE len(list_filter(words, lambda w: starts_with(w, '10-0') OR levenshtein(w, '10-0') <= 1)) > 0 ORDER BY len(list_filter(words, lambda w: starts_with(w, '10-0'))) = 0, curie LIMIT 100"""),
+    "khop_exact": sql("xe observed", """, b AS (SELECT concat(s_prefix, ':', s_id) AS x, concat(o_prefix, ':', o_id) AS y FROM xe), q AS (SELECT concat(prefix, ':', id) AS c FROM observed WHERE CAST(split_part(id, '-', 1) AS BIGINT) % 100 = 0),
+ h AS (SELECT c AS source, c AS curie, 0 AS distance FROM q UNION SELECT source, y, distance + 1 FROM h JOIN b ON curie = x WHERE distance < 3)
+ SELECT source, curie, min(distance) AS distance FROM h GROUP BY source, curie HAVING min(distance) > 0"""),
+    "component_lookup": sql("und", """, h AS (SELECT 'mesh:10-0' AS curie, 0 AS d UNION SELECT b, d + 1 FROM h JOIN und ON curie = a WHERE d < 3)
+ SELECT DISTINCT curie, CASE WHEN curie LIKE '%-0' THEN concat('concept ', curie) ELSE '' END AS name FROM h WHERE curie IN (SELECT a FROM und)"""),
+    "component_lookup_edges": sql("und ids", """, h AS (SELECT 'mesh:10-0' AS curie, 0 AS d UNION SELECT b, d + 1 FROM h JOIN und ON curie = a WHERE d < 3)
+ SELECT tid AS mapping, concat(s_prefix, ':', s_id) AS start, p AS type, concat(o_prefix, ':', o_id) AS "end" FROM ids WHERE concat(s_prefix, ':', s_id) IN (SELECT curie FROM h) AND concat(o_prefix, ':', o_id) IN (SELECT curie FROM h)"""),
+    "mapping_lookup": sql("e ids", f"""SELECT tid AS mapping, concat(s_prefix, ':', s_id) AS subject, CASE WHEN s_id LIKE '%-0' THEN concat('concept ', s_prefix, ':', s_id) ELSE '' END AS subject_name, p AS predicate,
+ concat(o_prefix, ':', o_id) AS object, CASE WHEN o_id LIKE '%-0' THEN concat('concept ', o_prefix, ':', o_id) ELSE '' END AS object_name, justification, round(CASE WHEN confidence <> 0 THEN confidence END, 5) AS confidence,
+ concat('mappingset:', md5(ms_id)) AS mapping_set, concat('orcid:', author) AS author FROM e JOIN ids USING ({_T}) WHERE tid = (SELECT min(tid) FROM ids)"""),
+    "mappings_of_set": sql("e ids", f"SELECT DISTINCT tid AS mapping, concat(s_prefix, ':', s_id) AS subject, p AS predicate, concat(o_prefix, ':', o_id) AS object FROM e JOIN ids USING ({_T}) WHERE ms_id = 'set-O' ORDER BY mapping LIMIT 10"),
+    "example_mappings": sql("ids", "SELECT tid AS mapping, concat(s_prefix, ':', s_id) AS subject, concat('concept ', s_prefix, ':', s_id) AS subject_name, concat(o_prefix, ':', o_id) AS object, concat('concept ', o_prefix, ':', o_id) AS object_name FROM ids WHERE s_id LIKE '%-0' AND o_id LIKE '%-0' ORDER BY tid LIMIT 5"),
+    "mapping_sets": sql("f sets", "SELECT concat('mappingset:', md5(ms_id)) AS curie, title, count(*) AS n FROM f JOIN sets USING (ms_id) GROUP BY ms_id, title"),
+    "mappings_by_justification": sql("e ids", f"""SELECT DISTINCT tid AS mapping, concat(s_prefix, ':', s_id) AS start, p AS predicate, concat(o_prefix, ':', o_id) AS "end" FROM e JOIN ids USING ({_T}) WHERE justification = 'semapv:ManualMappingCuration'"""),
+    "mappings_by_author": sql("e ids", f"""SELECT DISTINCT tid AS mapping, concat(s_prefix, ':', s_id) AS start, p AS predicate, concat(o_prefix, ':', o_id) AS "end" FROM e JOIN ids USING ({_T}) WHERE author = '3'"""),
+    "mappings_by_confidence": sql("t ids", f"""SELECT tid AS mapping, concat(s_prefix, ':', s_id) AS start, p AS predicate, concat(o_prefix, ':', o_id) AS "end" FROM t JOIN ids USING ({_T}) WHERE round(confidence, 5) >= 0.97"""),
 }

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspan import fixtures as fx
+from veldspan import graph
 from veldspan.functions.confidence import noisy_or, rounded
+from veldspan.functions.refs import curie, mapping_set_id, triple_id
 from veldspan.operators import assemble as asm
 from veldspan.operators import chains, components, counts, filters, hierarchy, infer, many, prioritize
 from veldspan.plans import assembly, landscape
+from veldspan.sinks import sssom
 from veldspan.schema import DB_XREF, EXACT, IMPRECISE, SAME_AS, SUBCLASS, TRIPLE
 from veldspan.workspace import Workspace
 
@@ -282,3 +285,165 @@ def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed(assembly.process(fx.rows(spark, sf_dir), negatives=fx.negatives(spark, sf_dir)))
 
 
+# the property graph
+
+
+def _graph(spark: SparkSession, sf_dir: str, stars: bool = False) -> graph.PropertyGraph:
+    priority_rows = Workspace(spark, "stars").save(_stars(spark, sf_dir), "stars") if stars else None
+    return graph.build(fx.rows(spark, sf_dir), fx.mapping_sets(spark), priority_rows=priority_rows, names=fx.labels(spark, sf_dir))
+
+
+def _number(df: DataFrame) -> DataFrame:
+    return df.withColumn("confidence", F.expr("try_cast(confidence AS double)"))
+
+
+@query
+def triple_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.rows(spark, sf_dir).select(*TRIPLE).distinct().select(*TRIPLE, triple_id().alias("tid"))
+
+
+@query
+def concept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir, stars=True).concepts
+
+
+@query
+def mapping_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _number(_graph(spark, sf_dir).mapping_nodes)
+
+
+@query
+def evidence_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without ids, whose hash SQL doesn't have."""
+    return _number(_graph(spark, sf_dir).evidence).select("prefix", "type", "mapping_justification", "confidence")
+
+
+@query
+def mapping_set_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _number(_graph(spark, sf_dir).sets)
+
+
+@query
+def mapping_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _number(_graph(spark, sf_dir).mapping_edges)
+
+
+@query
+def annotated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).edges.where("type LIKE 'owl:%'")
+
+
+@query
+def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query
+def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inverses are derived from, by triple."""
+    rows = infer.flip(asm.assemble(fx.rows(spark, sf_dir)))
+    g = graph.build(rows, fx.mapping_sets(spark))
+    own = g.edges.where("type = 'hasEvidence'").select(F.col("start").alias("mapping"), F.col("end").alias("evidence"))
+    return own.join(g.edges.where("type = 'derivedFromMapping'").select(F.col("start").alias("evidence"), F.col("end").alias("source")), "evidence").select("mapping", "source")
+
+
+@query
+def sssom_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = asm.deduplicate_evidence(fx.rows(spark, sf_dir))
+    return sssom.sssom_rows(rows, fx.labels(spark, sf_dir), fx.mapping_sets(spark)).drop("record_id")
+
+
+@query
+def digraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = graph.digraph(fx.rows(spark, sf_dir))
+    return out.select(*(c for c in TRIPLE if c != "p"), F.array_join("predicates", "|").alias("predicates"))
+
+
+@query
+def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.negative_pairs(fx.negatives(spark, sf_dir))
+
+
+def _counted(name: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: getattr(_graph(spark, sf_dir), name)()
+
+
+for _name in ("predicate_counts", "justification_counts", "evidence_type_counts", "mapping_set_counts", "concept_counts", "author_counts"):
+    _counted(_name)
+
+
+@query
+def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir, stars=True).node_counts()
+
+
+@query
+def highest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir, stars=True).highest_exact(10)
+
+
+@query
+def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).autocomplete("10-0", 100)
+
+
+def _some_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concepts of every hundredth cluster."""
+    own = counts.observed_terms(fx.rows(spark, sf_dir)).where("CAST(split(id, '-')[0] AS BIGINT) % 100 = 0")
+    return own.select(curie("prefix", "id").alias("curie"))
+
+
+@query
+def khop_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    return g.exact_matches(_some_concepts(spark, sf_dir), 3)
+
+
+@query
+def component_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = _graph(spark, sf_dir).component("mesh:10-0", 3)
+    return nodes.select("curie", "name")
+
+
+@query
+def component_lookup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).component("mesh:10-0", 3)[1]
+
+
+@query
+def mapping_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least mapping by id, with its evidence."""
+    g = _graph(spark, sf_dir)
+    one = g.mapping_nodes.agg(F.min("curie")).first()[0]
+    return _number(g.mapping(one)).select("mapping", "subject", "subject_name", "predicate", "object", "object_name", "justification", "confidence", "mapping_set", "author")
+
+
+@query
+def mappings_of_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).mappings_of_set("set-O", 10).select("mapping", "subject", "predicate", "object").distinct()
+
+
+@query
+def example_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).example_mappings(5).select("mapping", "subject", "subject_name", "object", "object_name").distinct()
+
+
+@query
+def mapping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = counts.by_source(fx.rows(spark, sf_dir)).join(fx.mapping_sets(spark), "ms_id")
+    return own.select(mapping_set_id("ms_id").alias("curie"), "title", "n")
+
+
+@query
+def mappings_by_justification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).mappings_by_justification("semapv:ManualMappingCuration")
+
+
+@query
+def mappings_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).mappings_by_author("orcid:3")
+
+
+@query
+def mappings_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).mappings_by_confidence(0.97)

@@ -1,0 +1 @@
+"""Readers of mapping files and the registry of named sources."""

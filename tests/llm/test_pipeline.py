@@ -9,6 +9,7 @@ import corpus_pipeline
 import pytest
 
 from tests.llm import brute
+from veldspan.llm import mixing
 from veldspan.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +60,14 @@ def test_mix_repeats_whole_documents(stages):
     assert abs(sum(size[r] * n for r, n in after.items()) - 1.5 * total) <= longest * len({r[3] for r in before})
 
 
+def test_mixed_rows_follow_the_mix(spark, stages):
+    columns = spark.read.parquet(f"{SF}/documents.parquet").schema
+    before = spark.createDataFrame(stages[3], columns)
+    want = {r["doc_id"]: r["epochs"] + r["selected"] for r in mixing.mix(before).collect()}
+    got = Counter(r[0] for r in stages[4])
+    assert {k: got[k] for k in want} == want
+
+
 def test_tokens(stages):
     from tokenizers import Tokenizer
 

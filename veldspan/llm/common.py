@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspan.workspace import Workspace
@@ -20,9 +20,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def scanned(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """``docs`` if it is a plain scan of files; otherwise it is written once and read back."""
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    return docs if plan == "LogicalRelation" else ws.save(docs, "docs")
+
+
+def row_id(scan: DataFrame) -> Column:
+    """A row's file and position in it: tells rows of equal or null key apart, and is the same whenever the files are read."""
+    at = scan.metadataColumn("_metadata")
+    return F.struct(at["file_path"].alias("file"), at["row_index"].alias("at"))
+
+
 def numbered(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """``docs`` written with a row number ``__row``, so that rows of equal or null key can be told apart."""
-    return ws.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    """``docs`` with its rows' ids as ``__row``."""
+    scan = scanned(docs, ws)
+    return scan.withColumn("__row", row_id(scan))
 
 
 def bounded_batches(spark: SparkSession) -> None:

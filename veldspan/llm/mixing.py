@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspan.llm.common import WORD, numbered
+from veldspan.llm.common import WORD, row_id, scanned
 from veldspan.workspace import Workspace
 
 #: Buckets of the exponential keys within a source.
@@ -70,33 +70,43 @@ def targets(sources: DataFrame, source: str, size: str, weights: tuple[int, ...]
     return ranked.withColumn("target", target).drop("rank", "_before", "_rest", "_total", "_capped")
 
 
-def mix(
-    docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (3, 1, 2),
-    share_percent: int = 150, most: int = 2, seed: str = "mix",
-) -> DataFrame:
-    """``key, source, size, source_size, target, epochs, selected, taken`` of each row.
-
-    ``copies = taken / size`` is how often a document enters the mix: complete
-    epochs, and once more if the fractional sample selects it.
-    """
-    ws = Workspace(docs.sparkSession, "mixing")
+def _scored(docs: DataFrame, key: str, source: str, text: str, seed: str, *more: Column) -> DataFrame:
+    """``key, source, size, sort_key, bucket`` and ``more`` of each row."""
     size = size_of(F.col("text"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))), 1, 8), 16, 10).cast("long")
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
-    rows = rows.select("key", "source", size.alias("size"), ((u + 0.5) / 4294967296.0).alias("u"), quality_weight(F.col("text"), size).alias("quality"))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), *more)
+    own = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    u = (F.conv(F.substring(F.md5(own), 1, 8), 16, 10).cast("long") + 0.5) / 4294967296.0
+    rows = rows.select(*(c for c in rows.columns if c != "text"), size.alias("size"), u.alias("u"), quality_weight(F.col("text"), size).alias("quality"))
     # the mass of exp(-key) = u ** (1 / quality) is even within a quality, so its buckets are bounded shares of a source
     rows = rows.withColumn("sort_key", -F.log("u") / F.col("quality")).withColumn("bucket", F.floor((1 - F.exp(-F.col("sort_key"))) * BUCKETS).cast("int"))
-    rows = rows.groupBy("source", "bucket", "sort_key", "key", "size").agg(F.count("*").alias("copies"))
-    rows = ws.save(rows, "rows")
-    buckets = rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("in_bucket"))
+    return rows.drop("u", "quality")
+
+
+def _plan(ws: Workspace, buckets: DataFrame, weights: tuple[int, ...], share_percent: int, most: int) -> DataFrame:
+    """Of ``(source, bucket, in_bucket)``: ``before_bucket, source_size, target, epochs, rest``."""
     buckets = ws.save(buckets, "buckets")
     sources = targets(buckets.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), "source", "source_size", weights, share_percent, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = buckets.withColumn("before_bucket", F.coalesce(F.sum("in_bucket").over(up_to), F.lit(0)))
-    plan = plan.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.*", "source_size", "target", "epochs", "rest")
-    plan = ws.save(plan, "plan")
+    plan = plan.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
+    return ws.save(plan.select("b.*", "source_size", "target", "epochs", "rest"), "plan")
+
+
+def mix(
+    docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (3, 1, 2),
+    share_percent: int = 150, most: int = 2, seed: str = "mix",
+) -> DataFrame:
+    """``key, source, size, source_size, target, epochs, selected, taken`` of each row.
+
+    ``taken / size`` is how often a document enters the mix: complete epochs, and
+    once more if the fractional sample selects it.
+    """
+    ws = Workspace(docs.sparkSession, "mixing")
+    rows = _scored(docs, key, source, text, seed).groupBy("source", "bucket", "sort_key", "key", "size").agg(F.count("*").alias("copies"))
+    rows = ws.save(rows, "rows")
+    plan = _plan(ws, rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("in_bucket")), weights, share_percent, most)
     joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
     joined = joined.select("r.*", "in_bucket", "before_bucket", "source_size", "target", "epochs", "rest")
     # buckets wholly before or after the budget need no order
@@ -112,14 +122,37 @@ def mix(
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "epochs", "selected", taken.alias("taken"))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix has them: each row once for each epoch, and once more if it is selected."""
+def mixed(
+    docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (3, 1, 2),
+    share_percent: int = 150, most: int = 2, seed: str = "mix",
+) -> DataFrame:
+    """``docs`` as the mix has them: each row once for each epoch, and once more if it is selected.
+
+    Texts are scored twice rather than shuffled: a source's budget ends within one
+    bucket, so all other rows are decided by their bucket, and only that bucket's
+    rows meet their decisions by row id.  Repeated rows go in order of their ids.
+    """
     ws = Workspace(docs.sparkSession, "mixed")
-    rows = numbered(docs, ws)
-    taken = mix(rows, **how | {"key": "__row"}).select("__row", (F.col("epochs") + F.col("selected").cast("long")).alias("__copies"))
-    taken = ws.save(taken.where("__copies > 0"), "taken")
-    each = F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))
-    return rows.join(taken, "__row").withColumn("__copy", each).select(*docs.columns)
+    scan = scanned(docs, ws)
+    scored = _scored(scan, key, source, text, seed, row_id(scan).alias("row"))
+    rows = ws.save(scored, "rows")
+    plan = _plan(ws, rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")), weights, share_percent, most)
+    ends = (F.col("before_bucket") <= F.col("rest")) & (F.col("before_bucket") + F.col("in_bucket") > F.col("rest"))
+    cut = F.min(F.when(ends, F.struct("bucket", "before_bucket"))).alias("c")
+    cuts = plan.groupBy("source").agg(F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), cut)
+    cuts = ws.save(cuts.select("source", "epochs", "rest", F.col("c.bucket").alias("cut"), F.col("c.before_bucket").alias("before_cut")), "cuts")  # a line for each source
+    at_cut = rows.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.bucket") == F.col("c.cut")))
+    in_order = Window.partitionBy("r.source").orderBy("sort_key", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("before_cut") + F.coalesce(F.sum("size").over(in_order), F.lit(0))
+    decided = ws.save(at_cut.select("row", (before + F.col("size") / 2 <= F.col("rest")).alias("chosen")), "decided")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    whole = _scored(scan, key, source, text, seed, row_id(scan).alias("row"), *(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    whole = whole.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).select("row", "bucket", *names, "epochs", "cut")
+    sure = whole.where("cut IS NULL OR bucket <> cut").withColumn("copies", F.col("epochs") + F.coalesce(F.col("bucket") < F.col("cut"), F.lit(True)).cast("long"))
+    edge = whole.where("bucket = cut").join(decided, "row").withColumn("copies", F.col("epochs") + F.col("chosen").cast("long"))
+    out = sure.select(*names, "copies").unionByName(edge.select(*names, "copies")).where("copies > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 def _each_copy(rows: DataFrame, at_once: int = 1 << 16) -> DataFrame:

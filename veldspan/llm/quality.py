@@ -183,17 +183,19 @@ def thresholds(sketches: DataFrame, groups: list[str], rules: tuple[Rule, ...],
     return fences.groupBy(*groups).agg(*out)
 
 
-def _verdicts(
-    ws: Workspace, measured: DataFrame, groups: list[str], rules: tuple[Rule, ...] = RULES, reach: float = 3.0, min_group: int = 100,
-    min_words: int = 50, max_repeat_percent: int = 50,
-) -> DataFrame:
-    """``measured`` with ``base_failed``, ``failed_rules`` and ``kept``."""
-    stats = ws.save(measured, "stats")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
+def _fences(ws: Workspace, stats: DataFrame, groups: list[str], rules: tuple[Rule, ...], reach: float, min_group: int) -> DataFrame:
+    """Each group's thresholds, learnt from the documents that pass the base rules."""
     metrics = {r.metric: F.expr(r.value) for r in rules}
-    fences = thresholds(sketch(stats.where("NOT base_failed"), groups, metrics), groups, rules, reach, min_group)
-    fences = ws.save(fences, "fences")
+    return ws.save(thresholds(sketch(stats.where("NOT base_failed"), groups, metrics), groups, rules, reach, min_group), "fences")
+
+
+def _with_base(measured: DataFrame, min_words: int, max_repeat_percent: int) -> DataFrame:
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    return measured.withColumn("base_failed", failed)
+
+
+def _judged(stats: DataFrame, fences: DataFrame, groups: list[str], rules: tuple[Rule, ...]) -> DataFrame:
+    """``stats`` with ``failed_rules`` and ``kept``.  ``fences`` has a line for each group and is broadcast if it is small."""
     on = F.lit(True)
     for g in groups:
         on &= F.col(f"s.{g}").eqNullSafe(F.col(f"f.{g}"))
@@ -201,33 +203,46 @@ def _verdicts(
     rows = stats.alias("s").join(fences.alias("f"), on, "left").select("s.*", *bounds)
     broken = []
     for r in rules:
-        beyond = F.lit(False)
+        value, beyond = F.expr(r.value), F.lit(False)
         if r.low:
-            beyond |= metrics[r.metric] < F.col(f"low_{r.metric}")
+            beyond |= value < F.col(f"low_{r.metric}")
         if r.high:
-            beyond |= metrics[r.metric] > F.col(f"high_{r.metric}")
+            beyond |= value > F.col(f"high_{r.metric}")
         broken.append(F.when(~F.col("base_failed") & beyond, F.lit(r.metric)))
     rows = rows.withColumn("failed_rules", F.concat_ws(",", *broken)).drop(*bounds)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 
 
-def quality(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), **rules) -> DataFrame:
+def quality(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), rules: tuple[Rule, ...] = RULES,
+    reach: float = 3.0, min_group: int = 100, min_words: int = 50, max_repeat_percent: int = 50,
+) -> DataFrame:
     """Each row's ``key``, groups, statistics, ``base_failed``, ``failed_rules`` and ``kept``.
 
     Thresholds are learnt from the documents that pass the base rules and lie
     ``reach`` spreads beyond a group's quartiles.
     """
-    names = [f"g{i}" for i in range(len(groups))]
+    ws, names = Workspace(docs.sparkSession, "quality"), [f"g{i}" for i in range(len(groups))]
     own = docs.select(F.col(key).alias("key"), *(F.col(g).alias(n) for g, n in zip(groups, names, strict=True)), F.col(text).alias("text"))
-    rows = _verdicts(Workspace(docs.sparkSession, "quality"), measure(own, "text", "key", *names), names, **rules)
+    stats = _with_base(ws.save(measure(own, "text", "key", *names), "stats"), min_words, max_repeat_percent)
+    rows = _judged(stats, _fences(ws, stats, names, rules, reach, min_group), names, rules)
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "failed_rules", "kept")
     return rows.select(F.col("key").alias(key), *(F.col(n).alias(g) for n, g in zip(names, groups, strict=True)), *out)
 
 
-def keep(docs: DataFrame, *, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), **rules) -> DataFrame:
-    """The rows of ``docs`` that pass all rules, as they are."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
+def keep(
+    docs: DataFrame, *, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), rules: tuple[Rule, ...] = RULES,
+    reach: float = 3.0, min_group: int = 100, min_words: int = 50, max_repeat_percent: int = 50,
+) -> DataFrame:
+    """The rows of ``docs`` that pass all rules, as they are.
+
+    Texts are measured twice, for the thresholds and for the verdict; so they are
+    neither copied nor shuffled.
+    """
+    ws, names = Workspace(docs.sparkSession, "quality"), [f"c{i}" for i in range(len(docs.columns))]
     of = dict(zip(docs.columns, names, strict=True))
-    measured = measure(docs.toDF(*names), of[text], *names)
-    rows = _verdicts(Workspace(docs.sparkSession, "quality"), measured, [of[g] for g in groups], **rules)
+    own, by = docs.toDF(*names), [of[g] for g in groups]
+    stats = _with_base(ws.save(measure(own, of[text], *by), "stats"), min_words, max_repeat_percent)
+    fences = _fences(ws, stats, by, rules, reach, min_group)
+    rows = _judged(_with_base(measure(own, of[text], *names), min_words, max_repeat_percent), fences, by, rules)
     return rows.where("kept").select(*(F.col(n).alias(c) for c, n in of.items()))

@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of ``docs`` of each linked group: that of the smallest key, then of the smallest row number; null keys last."""
+    """One row of ``docs`` of each linked group: that of the smallest key, then of the first row; null keys last."""
     ws = Workspace(docs.sparkSession, "simhash-dedup")
     rows = numbered(docs, ws)
     order = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col("__row").alias("row"))

@@ -15,7 +15,7 @@ from veldspan.operators.chains import infer_chains
 from veldspan.plans.build import build, tabulate
 from veldspan.plans.config import Configuration, Input
 from veldspan.schema import CHAIN, DB_XREF, LEXICAL, MANUAL, MAPPING_SETS_SCHEMA, UNSPECIFIED
-from veldspan.sinks.files import write_jsonl, write_parquet, write_property_graph
+from veldspan.sinks.files import append_negative, write_jsonl, write_parquet, write_property_graph
 from veldspan.sinks.sssom import write_sssom
 from veldspan.sources import files, tables
 from veldspan.sources.catalog import CATALOG
@@ -179,6 +179,13 @@ def test_messy_references(spark):
     }
 
 
+def test_marking_a_mapping_as_wrong(spark, tmp_path):
+    path = f"{tmp_path}/negatives"
+    for x in ("mesh:D1", "mesh:D2"):
+        append_negative(spark, path, "doid:1", EXACT, x, author="0000-0000-0000-0001")
+    assert triples(files.read_parquet(spark, path)) == {("doid:1", EXACT, "mesh:D1"), ("doid:1", EXACT, "mesh:D2")}
+
+
 def test_catalog():
     assert CATALOG.normalize("get_gene-table_mappings") == "gene_table"
     with pytest.raises(KeyError):

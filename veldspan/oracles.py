@@ -233,4 +233,15 @@ ORACLES: dict[str, str] = {
     "mappings_by_justification": sql("e ids", f"""SELECT DISTINCT tid AS mapping, concat(s_prefix, ':', s_id) AS start, p AS predicate, concat(o_prefix, ':', o_id) AS "end" FROM e JOIN ids USING ({_T}) WHERE justification = 'semapv:ManualMappingCuration'"""),
     "mappings_by_author": sql("e ids", f"""SELECT DISTINCT tid AS mapping, concat(s_prefix, ':', s_id) AS start, p AS predicate, concat(o_prefix, ':', o_id) AS "end" FROM e JOIN ids USING ({_T}) WHERE author = '3'"""),
     "mappings_by_confidence": sql("t ids", f"""SELECT tid AS mapping, concat(s_prefix, ':', s_id) AS start, p AS predicate, concat(o_prefix, ':', o_id) AS "end" FROM t JOIN ids USING ({_T}) WHERE round(confidence, 5) >= 0.97"""),
+    "sssom_round_trip": sql("e", f"SELECT {_T}, round(1 - product(1 - row_confidence) FILTER (WHERE row_confidence <> 0), 5) AS confidence, count(*) AS n_evidence FROM e GROUP BY {_T}"),
+    "jsonl_round_trip": sql("t", f"SELECT {_T}, round(confidence, 5) AS confidence, n_evidence FROM t"),
+    "stream_ingest": sql("t", f"SELECT {_T}, round(confidence, 5) AS confidence, n_evidence FROM t"),
+    "event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",
+    "messy_xrefs": """SELECT 'clo' AS s_prefix, lpad(p_partkey::VARCHAR, 7, '0') AS s_id, 'oboinowl:hasDbXref' AS p, o_prefix, o_id, CAST(0.8 AS DOUBLE) AS confidence FROM
+ (SELECT p_partkey, unnest(['cosmic.cell', 'cellosaurus', 'hms.lincs.cell', 'dsmz', 'chembl.cell']) AS o_prefix,
+  unnest([p_partkey::VARCHAR, lpad(p_partkey::VARCHAR, 4, '0'), p_partkey::VARCHAR, concat('ACC-', p_partkey), concat('CHEMBL', p_partkey)]) AS o_id FROM part)""",
+    "clinical_triangles": """SELECT * FROM (SELECT 'mesh' AS s_prefix, concat('D', s_suppkey) AS s_id, 'skos:exactMatch' AS p, 'snomedct' AS o_prefix, s_suppkey::VARCHAR AS o_id, 'semapv:UnspecifiedMatching' AS justification FROM supplier
+ UNION ALL SELECT 'mesh', concat('D', s_suppkey), 'skos:exactMatch', 'icd10cm', concat('A', lpad((s_suppkey % 100)::VARCHAR, 2, '0')), 'semapv:MappingChaining' FROM supplier WHERE s_suppkey % 3 > 0
+ UNION ALL SELECT 'icd10cm', concat('A', lpad((s_suppkey % 100)::VARCHAR, 2, '0')), 'skos:exactMatch', 'snomedct', s_suppkey::VARCHAR, 'semapv:UnspecifiedMatching' FROM supplier WHERE s_suppkey % 3 > 0)""",
+    "prefix_summary": sql("observed", "SELECT DISTINCT prefix, CASE prefix WHEN 'doid' THEN 'Human Disease Ontology' WHEN 'mesh' THEN 'Medical Subject Headings' WHEN 'umls' THEN 'Unified Medical Language System' WHEN 'efo' THEN 'Experimental Factor Ontology' ELSE 'NCI Thesaurus' END AS name FROM observed"),
 }

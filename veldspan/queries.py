@@ -14,7 +14,12 @@ from veldspan.functions.refs import curie, mapping_set_id, triple_id
 from veldspan.operators import assemble as asm
 from veldspan.operators import chains, components, counts, filters, hierarchy, infer, many, prioritize
 from veldspan.plans import assembly, landscape
+from veldspan.sinks import files as file_sinks
 from veldspan.sinks import sssom
+from veldspan.sources import files as file_sources
+from veldspan.sources import tables
+from veldspan.sources.sssom import read_sssom
+from veldspan.streaming import ingest
 from veldspan.schema import DB_XREF, EXACT, IMPRECISE, SAME_AS, SUBCLASS, TRIPLE
 from veldspan.workspace import Workspace
 
@@ -447,3 +452,65 @@ def mappings_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mappings_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).mappings_by_confidence(0.97)
+
+
+# files and streams
+
+
+@query
+def sssom_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as one table with a header, read back, and summed up by the rows' own confidence."""
+    at = f"{Workspace(spark, 'sssom').path}/all.sssom.tsv"
+    sssom.write_sssom(asm.deduplicate_evidence(fx.rows(spark, sf_dir)), at, set_id="https://example.org/all")
+    back, _, _ = read_sssom(spark, at)
+    return summed(back)
+
+
+@query
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{Workspace(spark, 'jsonl').path}/all.jsonl"
+    file_sinks.write_jsonl(asm.deduplicate_evidence(fx.rows(spark, sf_dir)), at)
+    return summed(file_sources.read_jsonl(spark, at))
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows in two batches of files, streamed into a store that keeps each evidence once."""
+    at = Workspace(spark, "stream").path
+    rows = fx.rows(spark, sf_dir)
+    for k in range(2):
+        rows.where(F.pmod(F.crc32("s_id"), F.lit(2)) == k).write.mode("append").parquet(f"{at}/in")
+    ingest.ingest(ingest.stream_rows(spark, f"{at}/in"), f"{at}/store", f"{at}/progress").awaitTermination()
+    return summed(ingest.stored(spark, f"{at}/store"))
+
+
+@query
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ingest.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return out.select(F.unix_timestamp("start").alias("start"), "kind", "n")
+
+
+@query
+def messy_xrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as cell lines have them, made from parts."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("COSMICID: "), k, F.lit("; RRID:CVCL_"), F.lpad(k, 4, "0"), F.lit(", LINCS_HMS:"), k, F.lit("); DSMZ:ACC"), k, F.lit("; omim:100050; what is this; CHEMBL:CHEMBL"), k)
+    nodes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lpad(k, 7, "0").alias("id"), text.alias("value"))
+    return tables.cell_line_xrefs(nodes).select(*TRIPLE, "confidence")
+
+
+@query
+def clinical_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three identifiers a line, some without a valid code, made from suppliers."""
+    k = F.col("s_suppkey")
+    lines = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.concat(k.cast("string"), F.lit(".0")).alias("SNOMEDCT_ID"), F.when(k % 3 > 0, F.concat(F.lit("A"), F.lpad((k % 100).cast("string"), 2, "0"))).alias("ICD10CM_ID"), F.concat(F.lit("D"), k.cast("string")).alias("MESH_ID")
+    )
+    at = f"{Workspace(spark, 'triangles').path}/lines"
+    lines.write.option("sep", "\t").option("header", "true").csv(at)
+    return tables.clinical_triangles(spark, at, "snomedct").select(*TRIPLE, "justification")
+
+
+@query
+def prefix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.summarize_prefixes(fx.rows(spark, sf_dir)).select("prefix", "name")

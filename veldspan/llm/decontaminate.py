@@ -55,11 +55,11 @@ def _few(df: DataFrame, column: str, most: int) -> list[str] | None:
 
 
 def count_words(docs: DataFrame, text: str, vocabulary: DataFrame, max_literals: int) -> DataFrame:
-    """``(word, n)``: occurrences of the vocabulary's words in all documents."""
+    """``(word, n)``: occurrences of the vocabulary's words in all documents; to be broadcast if they are at most ``max_literals``."""
     words = words_of(F.col(text))
     if (known := _few(vocabulary, "word", max_literals)) is not None:
         own = F.filter(words, lambda w: w.isin(known)) if known else F.array().cast("array<string>")
-        return docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        return F.broadcast(docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word", "left_semi")
 
 

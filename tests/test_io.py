@@ -244,3 +244,25 @@ def test_stream_ingests_each_evidence_once(spark, tmp_path):
 def test_windowed_counts(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")], "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted((r.start.hour, r.kind, r.n) for r in ingest.windowed_counts(df).collect()) == [(0, "a", 2), (1, "b", 1)]
+
+
+def test_domains(spark, tmp_path):
+    from veldspan.plans import cli
+    from veldspan.plans.domains import DOMAINS, configure
+
+    for key in DOMAINS:
+        configure(key, {}, str(tmp_path))  # all prefixes are canonical
+    write_parquet(rows(spark, row("ccle:A", DB_XREF, "efo:0000001"), row("cl:0000001", DB_XREF, "ccle:A")), f"{tmp_path}/ccle")
+    job = configure("cell", {"ccle": f"{tmp_path}/ccle"}, f"{tmp_path}/out", subsets={})
+    pack = job.assemble(spark)
+    assert (("ccle:A", EXACT, "efo:0000001")) in triples(pack.processed)
+    assert triples(files.read_parquet(spark, f"{tmp_path}/out/ccle_efo.parquet")) == {("ccle:A", EXACT, "efo:0000001")}
+    (tmp_path / "sources.json").write_text(json.dumps({"parquet": f"{tmp_path}/ccle"}))
+    cli.main(["sources", f"{tmp_path}/sources.json", f"{tmp_path}/raw"])
+
+
+def test_tabulate(spark):
+    from veldspan.operators.counts import tabulate
+
+    text = tabulate(rows(spark, row("doid:1", EXACT, "mesh:D1", 0.5), row("doid:1", EXACT, "mesh:D1", 0.9)))
+    assert text.splitlines()[1:] == [f"doid:1 | {EXACT} | mesh:D1 | {UNSPECIFIED} | 0.5", f" |  |  | {UNSPECIFIED} | 0.9"]

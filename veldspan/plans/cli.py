@@ -1,26 +1,43 @@
-"""``python -m veldspan.plans.cli JOB.json [--refresh LEVEL]``: run a job and its exports."""
+"""``python -m veldspan.plans.cli job FILE... [--refresh LEVEL]``: run jobs and write their exports.
+``python -m veldspan.plans.cli sources FILE DIRECTORY``: load every source of a JSON file ``{name: path}``, report sizes and times.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from veldspan.plans.build import build, tabulate
 from veldspan.plans.config import Configuration
+from veldspan.sources.catalog import CATALOG
 
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("jobs", nargs="+", help="files of configurations")
-    parser.add_argument("--refresh", choices=("source", "raw", "processed", "priority"))
-    parser.add_argument("--no-exports", action="store_true")
+    parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    commands = parser.add_subparsers(dest="command", required=True)
+    job = commands.add_parser("job")
+    job.add_argument("files", nargs="+")
+    job.add_argument("--refresh", choices=("source", "raw", "processed", "priority"))
+    job.add_argument("--no-exports", action="store_true")
+    sources = commands.add_parser("sources")
+    sources.add_argument("file")
+    sources.add_argument("directory")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("veldspan").getOrCreate()
-    for path in args.jobs:
-        job = Configuration.from_file(path)
-        pack = job.assemble(spark, refresh=args.refresh)
-        if not args.no_exports:
-            job.write_exports(spark, pack)
+    if args.command == "job":
+        for path in args.files:
+            one = Configuration.from_file(path)
+            pack = one.assemble(spark, refresh=args.refresh)
+            if not args.no_exports:
+                one.write_exports(spark, pack)
+    else:
+        paths = json.loads(Path(args.file).read_text())
+        tasks = [("custom", name, lambda name=name, path=path: CATALOG.get(name)(spark, path)) for name, path in paths.items()]
+        _, summary = build(spark, args.directory, tasks)
+        tabulate(summary).show(1000, truncate=False)
 
 
 if __name__ == "__main__":

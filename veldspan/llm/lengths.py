@@ -23,7 +23,7 @@ from veldspan.llm.encode import encoder
 from veldspan.workspace import Workspace
 
 #: Lengths in a block of the suffix sums.
-BLOCK = 1024
+BLOCK = 256
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str, *, text: str = "text", extra: int = 1) -> DataFrame:

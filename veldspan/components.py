@@ -47,7 +47,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Each neighbour larger than u moves to the least of u and its neighbours."""
     both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(links: DataFrame) -> DataFrame:

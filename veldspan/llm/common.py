@@ -13,7 +13,7 @@ from veldspan.workspace import Workspace
 #: White space of the contracts: [\x20\x09-\x0D], what bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches are bounded in bytes, so very long texts can't pile up in a worker.
-ARROW_ROWS, ARROW_BYTES = 4000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 4000, 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

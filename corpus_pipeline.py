@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldspan.llm import decontaminate, mixing, quality, simhash, tokenstore
+from veldspan.llm import decontaminate, mixing, quality, resemblance, tokenstore
 from veldspan.llm.common import documents
 from veldspan.llm.queries import vocabulary
 from veldspan.workspace import Workspace
@@ -17,9 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.deduplicate(docs)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: linked by five-word similarity of 0.8 or more, or by SimHash."""
+    return resemblance.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", simhash_dedup),
+    ("SimHash and MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("source mix", source_mix),
     ("token shards", token_shards),

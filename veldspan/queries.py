@@ -392,16 +392,11 @@ def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).autocomplete("10-0", 100)
 
 
-def _some_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The concepts of every hundredth cluster."""
-    own = counts.observed_terms(fx.rows(spark, sf_dir)).where("CAST(split(id, '-')[0] AS BIGINT) % 100 = 0")
-    return own.select(curie("prefix", "id").alias("curie"))
-
-
 @query
 def khop_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact neighbourhoods of all observed concepts."""
     g = _graph(spark, sf_dir)
-    return g.exact_matches(_some_concepts(spark, sf_dir), 3)
+    return g.exact_matches(counts.observed_terms(fx.rows(spark, sf_dir)).select(curie("prefix", "id").alias("curie")), 3)
 
 
 @query

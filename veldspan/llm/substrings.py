@@ -7,7 +7,8 @@ run holds is a candidate.  Candidates, and only they, are then verified by a
 second, independent hash of the same words, again in a merge-join.  Answers go
 back to blocks as bit masks over their sorted hashes, so no positions travel.
 What a batch adds to the index is one run for each shard; when a shard has
-``FANOUT`` runs they are compacted into one.
+``FANOUT`` runs they are compacted into one.  When the windows of index and batch
+outgrow ``SHARD_WINDOWS`` a shard, shards split in place by further leading bits.
 
 A window is ``width`` consecutive words of one document (``[^\\x20\\x09-\\x0D]+``,
 unchanged).  Each word that is covered by a window whose words also start in a
@@ -298,7 +299,7 @@ class SubstringIndex:
         self.spark, self.width, self.bits, self.block_bytes = spark, width, shard_bits, block_bytes
         self.ws = Workspace(spark, "substrings")
         self.runs: DataFrame | None = None
-        self._batch = 0
+        self._batch, self._windows = 0, 0
 
     def dedup(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", add: bool = True) -> DataFrame:
         """``key, n_words, n_removed, kept_text`` of each row; ``add`` puts the batch into the index."""
@@ -306,9 +307,15 @@ class SubstringIndex:
         k, ws, width = self._batch, self.ws, self.width
         kind = docs.schema[key].dataType.simpleString()
         table = ws.save(_blocks(docs, key, text, width, self.block_bytes), f"blocks{k}")
+        total = table.agg(F.coalesce(F.sum("n_windows"), F.lit(0))).first()[0]
+        need = min(16, max(3, int(np.ceil(np.log2(max(1, total + self._windows) / SHARD_WINDOWS)))))
         if self.bits is None:
-            total = table.agg(F.coalesce(F.sum("n_windows"), F.lit(0))).first()[0]
-            self.bits = min(16, max(3, int(np.ceil(np.log2(max(1, total) / SHARD_WINDOWS)))))
+            self.bits = need
+        elif need > self.bits:
+            if self.runs is not None:
+                self.runs = ws.save(_split(self.runs, need), f"split{k}")
+            self.bits = need
+        self._windows += total if add else 0
         bits = self.bits
         first = _answer(self._with_history(_requests(table, width, bits, "hashes")), False)
         first = ws.save(first, f"shared{k}")
@@ -335,6 +342,23 @@ class SubstringIndex:
         self.runs = runs
 
 
+def _split(runs: DataFrame, bits: int) -> DataFrame:
+    """The runs cut into ``1 << bits`` shards."""
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                h, s = unpack(row["hashes"]), np.frombuffer(row["second"], "<u8")
+                cuts = np.r_[np.searchsorted(h, edges), len(h)]
+                for shard in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = slice(cuts[shard], cuts[shard + 1])
+                    values = shard, row["batch"], pack(h[part]), s[part].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "batch", "hashes", "second"])
+
+    return runs.select("shard", "batch", "hashes", "second").mapInArrow(run, "shard int, batch int, hashes binary, second binary")
+
+
 def _compact(runs: DataFrame) -> DataFrame:
     """Merge a shard's runs into one."""
 

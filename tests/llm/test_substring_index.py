@@ -30,3 +30,23 @@ def test_shards_split_as_the_index_grows(spark, monkeypatch):
     assert index.bits > 3
     for r in index.runs.collect():
         assert set((substrings.unpack(r.hashes) >> (64 - index.bits)).tolist()) == {r.shard}
+
+
+def test_registered_query_builds_and_uses_history(spark, monkeypatch, tmp_path):
+    indexes = []
+
+    class Kept(substrings.SubstringIndex):
+        def __init__(self, *args, **kw):
+            super().__init__(*args, **kw)
+            indexes.append(self)
+
+    monkeypatch.setattr(substrings, "SubstringIndex", Kept)
+    data = made(40)
+    spark.createDataFrame(data + [(None, data[0][1])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in q.op7_substring_dedup(spark, str(tmp_path)).collect()}
+    n, removed, _ = got.pop(None)
+    assert n and removed == 0
+    assert got == {k: (n, m, brute.sha(kept)) for k, (n, m, kept) in brute.substring_rows(data).items()}
+    (index,) = indexes
+    assert index._batch == substrings.FANOUT and not index.runs.isEmpty()
+    assert index.runs.groupBy("shard").count().where("count > 1").isEmpty()  # compacted

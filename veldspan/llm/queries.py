@@ -57,8 +57,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(documents(spark, sf_dir), vocabulary())
 
 
+def _key_ranges(docs: DataFrame, key: str, n: int) -> list[DataFrame]:
+    """``docs`` in up to ``n`` parts of ascending keys; null keys are in the first, equal keys in one part."""
+    cuts = sorted({int(x) for x in docs.approxQuantile(key, [i / n for i in range(1, n)], 0.01)})
+    at = F.lit(0)
+    for cut in cuts:
+        at = at + F.coalesce(F.col(key) > cut, F.lit(False)).cast("int")
+    return [docs.where(at == i) for i in range(len(cuts) + 1)]
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substrings.SubstringIndex(spark).dedup(documents(spark, sf_dir), add=False)
+    """The table comes to the index in batches of ascending keys, each judged against those before."""
+    index, out = substrings.SubstringIndex(spark), None
+    for batch in _key_ranges(documents(spark, sf_dir), "doc_id", substrings.FANOUT):
+        own = index.dedup(batch)
+        out = own if out is None else out.unionByName(own)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -75,7 +75,7 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
     width: int = 13, percent: int = 5, max_literals: int = MAX_LITERALS,
 ) -> DataFrame:
-    """Each row's ``n_words, n_hit, n_items, items`` (sorted as strings) and ``contaminated``."""
+    """Each row's ``n_words, n_hit, longest`` (words of its longest hit), ``n_items, items`` (sorted as strings) and ``contaminated``."""
     ws = Workspace(docs.sparkSession, "decontaminate")
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     windows = ws.save(windows_of(items, item_key, item_text, width), "windows")
@@ -90,25 +90,31 @@ def decontaminate(
         base, hits = _hits_by_join(ws, rows, prefixes)
     hits = ws.save(hits, "hits")
     spans = F.collect_set(F.struct("start", "length"))  # within one document
-    marked = hits.groupBy("row").agg(spans.alias("spans"))
+    marked = hits.groupBy("row").agg(spans.alias("spans"), F.max("length").cast("long").alias("longest"))
     inside = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    marked = marked.select("row", F.size(F.array_distinct(inside)).cast("long").alias("n_hit"))
+    marked = marked.select("row", F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), "longest")
     found = hits.select("row", "window").distinct().join(windows.select("window", "item"), "window").select("row", "item").distinct()
     found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     out = base.join(marked, "row", "left").join(found, "row", "left")
     none = F.array().cast("array<string>")
     return out.select(
-        F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size(F.coalesce("items", none)), F.lit(0)).cast("long").alias("n_items"),
+        F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest"), F.coalesce(F.size(F.coalesce("items", none)), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, as they are."""
+def clean(docs: DataFrame, items: DataFrame, *, width: int = 13, **how) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark text, as they are.
+
+    A row goes if one whole window of ``width`` words occurs in it, however long
+    its text is, or if it is ``contaminated``.  Items shorter than a window are a
+    few words that may stand anywhere; a row goes for them only if it is contaminated.
+    """
     ws = Workspace(docs.sparkSession, "decontaminated")
     rows = numbered(docs, ws)
-    bad = ws.save(decontaminate(rows, items, **how | {"key": "__row"}).where("contaminated").select("__row"), "bad")
+    found = decontaminate(rows, items, **how | {"key": "__row", "width": width})
+    bad = ws.save(found.where(F.col("contaminated") | (F.col("longest") >= width)).select("__row"), "bad")
     return rows.join(bad, "__row", "left_anti").select(*docs.columns)
 
 

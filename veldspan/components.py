@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from veldspan.workspace import Workspace
 
@@ -19,10 +20,39 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """``(node, component)`` for all nodes on ``edges``; component = smallest node.
 
     Self-loops keep their node.  Null ends are dropped.  No edges: no rows.
+    Rounds run on longs: other nodes are numbered first, and components named at the end.
     """
     ws = Workspace(edges.sparkSession, "components")
     start = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    start = ws.save(start.distinct(), "edges")
+    if isinstance(start.schema["u"].dataType, LongType) and isinstance(start.schema["v"].dataType, LongType):
+        start = ws.save(start.distinct(), "edges")
+        return _components(start, ws, max_rounds)
+    start = ws.save(start.distinct(), "named")
+    nodes, numbered = _numbered(start, ws)
+    parts = _components(ws.save(numbered, "edges"), ws, max_rounds)
+    parts = ws.save(parts.join(nodes, parts.node == nodes.number).select("component", F.col("name").alias("node")), "parts")
+    least = parts.groupBy("component").agg(F.min("node").alias("least"))
+    return parts.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _numbered(start: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """``(name, number)`` of the nodes, and the edges between numbers.
+
+    Hashes serve as numbers while no two nodes share one, which spares the edges two
+    joins; otherwise nodes are numbered by their places in a written table.
+    """
+    names = start.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+    hashed = ws.save(names.select("name", F.xxhash64("name").alias("number")), "nodes")
+    n, distinct = hashed.agg(F.count("*"), F.count_distinct("number")).first()
+    if n == distinct:
+        return hashed, start.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))
+    placed = ws.save(names.select("name", F.monotonically_increasing_id().alias("number")), "places")
+    by_u, by_v = (placed.select(F.col("name").alias(c), F.col("number").alias(f"{c}_number")) for c in ("u", "v"))
+    return placed, start.join(by_u, "u").join(by_v, "v").select(F.col("u_number").alias("u"), F.col("v_number").alias("v"))
+
+
+def _components(start: DataFrame, ws: Workspace, max_rounds: int) -> DataFrame:
+    """Of distinct edges ``(u, v)`` that are stored."""
     # u is the larger end
     links = start.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen = None

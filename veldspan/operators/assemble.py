@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from veldspan.functions.confidence import noisy_or
 from veldspan.functions.refs import evidence_id, triple_id
-from veldspan.schema import IDENTITY, ROW, TRIPLE
+from veldspan.schema import IDENTITY, PAYLOAD, ROW, TRIPLE
 
 
 def deduplicate_evidence(rows: DataFrame) -> DataFrame:
-    """One row of each evidence of a triple; of rows that differ in payload alone, the greatest values stay."""
-    payload = [F.max(c).alias(c) for c in ("confidence", "ms_id", "explanation")]
-    return rows.groupBy(*TRIPLE, *IDENTITY).agg(*payload).select(*ROW)
+    """One row of each evidence of a triple; of rows that differ in payload alone, one stays whole: the greatest, nulls least."""
+    whole = F.max(F.struct(*PAYLOAD)).alias("payload")
+    return rows.groupBy(*TRIPLE, *IDENTITY).agg(whole).select(*TRIPLE, *IDENTITY, "payload.*").select(*ROW)
 
 
 def assemble(rows: DataFrame) -> DataFrame:

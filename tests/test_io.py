@@ -241,6 +241,21 @@ def test_stream_ingests_each_evidence_once(spark, tmp_path):
     assert ingest.stored(spark, store).count() == 2
 
 
+def test_streams_with_two_checkpoints_share_a_store(spark, tmp_path):
+    store = f"{tmp_path}/store"
+    data = {k: [row(f"doid:{k}{i}", EXACT, f"mesh:D{i}") for i in range(1, 6)] for k in (1, 2)}
+    for k, own in data.items():
+        rows(spark, *own, data[1][0]).write.parquet(f"{tmp_path}/in{k}")
+        ingest.ingest(ingest.stream_rows(spark, f"{tmp_path}/in{k}", max_files=1), store, f"{tmp_path}/cp{k}").awaitTermination()
+    want = {("doid:11", EXACT, "mesh:D1")} | {(f"doid:{k}{i}", EXACT, f"mesh:D{i}") for k in data for i in range(1, 6)}
+    assert triples(ingest.stored(spark, store)) == want and ingest.stored(spark, store).count() == len(want)
+    # a batch that is written again, after a failure, changes nothing
+    run = ingest._run_of(spark, f"{tmp_path}/cp2")
+    for _ in range(2):
+        ingest.append_batch(rows(spark, *data[2][:2]), 7, store, run)
+    assert ingest.stored(spark, store).count() == len(want)
+
+
 def test_windowed_counts(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")], "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted((r.start.hour, r.kind, r.n) for r in ingest.windowed_counts(df).collect()) == [(0, "a", 2), (1, "b", 1)]

@@ -217,7 +217,7 @@ ORACLES: dict[str, str] = {
     "autocomplete": sql("observed f", """SELECT curie, name FROM (SELECT *, string_split_regex(lower(concat(name, ' ', curie)), '[\\s:]+') AS words FROM
  (SELECT concat(prefix, ':', id) AS curie, CASE WHEN id LIKE '%-0' THEN concat('concept ', prefix, ':', id) ELSE '' END AS name FROM observed UNION ALL SELECT DISTINCT concat('orcid:', author), '' FROM f))
  WHERE len(list_filter(words, lambda w: starts_with(w, '10-0') OR levenshtein(w, '10-0') <= 1)) > 0 ORDER BY len(list_filter(words, lambda w: starts_with(w, '10-0'))) = 0, curie LIMIT 100"""),
-    "khop_exact": sql("xe observed", """, b AS (SELECT concat(s_prefix, ':', s_id) AS x, concat(o_prefix, ':', o_id) AS y FROM xe), q AS (SELECT concat(prefix, ':', id) AS c FROM observed WHERE CAST(split_part(id, '-', 1) AS BIGINT) % 100 = 0),
+    "khop_exact": sql("xe observed", """, b AS (SELECT concat(s_prefix, ':', s_id) AS x, concat(o_prefix, ':', o_id) AS y FROM xe), q AS (SELECT concat(prefix, ':', id) AS c FROM observed),
  h AS (SELECT c AS source, c AS curie, 0 AS distance FROM q UNION SELECT source, y, distance + 1 FROM h JOIN b ON curie = x WHERE distance < 3)
  SELECT source, curie, min(distance) AS distance FROM h GROUP BY source, curie HAVING min(distance) > 0"""),
     "component_lookup": sql("und", """, h AS (SELECT 'mesh:10-0' AS curie, 0 AS d UNION SELECT b, d + 1 FROM h JOIN und ON curie = a WHERE d < 3)

@@ -236,9 +236,14 @@ def _with_prefix(curie_: str, prefix: str) -> str:
     return curie_ if curie_.startswith(f"{prefix}:") else f"{prefix}:{curie_}"
 
 
-def build(rows: DataFrame, sets: DataFrame, *, priority_rows: DataFrame | None = None, names: DataFrame | None = None) -> PropertyGraph:
-    """The graph of rows.  ``sets`` as in ``MAPPING_SETS_SCHEMA``; ``names (prefix, id, name)``; preferred concepts come from ``priority_rows``."""
+def build(rows: DataFrame, sets: DataFrame, *, priority_rows: DataFrame | None = None, names: DataFrame | None = None, ws: Workspace | None = None) -> PropertyGraph:
+    """The graph of rows.  ``sets`` as in ``MAPPING_SETS_SCHEMA``; ``names (prefix, id, name)``; preferred concepts come from ``priority_rows``.
+
+    With ``ws`` the distinct evidence and its ids are stored once, for those who read several frames.
+    """
     rows = deduplicate_evidence(rows).withColumns({"tid": triple_id(), "eid": evidence_id(), "s": curie("s_prefix", "s_id"), "o": curie("o_prefix", "o_id")})
+    if ws is not None:
+        rows = ws.save(rows, "evidence")
     spark = rows.sparkSession
     if priority_rows is None:
         priority_rows = spark.createDataFrame([], rows.select(*ROW).schema)

@@ -105,11 +105,12 @@ def by_source(rows: DataFrame) -> DataFrame:
     return rows.where("ms_id IS NOT NULL").groupBy("ms_id").agg(F.count("*").alias("n"))
 
 
-def tabulate(rows: DataFrame, limit: int = 1000) -> str:
-    """The first triples in order as a text table, a line for each evidence, repeated triples blank.  For reading, so ``limit`` lines."""
+def tabulate(rows: DataFrame, limit: int | None = None) -> str:
+    """All triples in order as a text table, a line for each evidence, repeated triples blank; the first ``limit`` lines if given.  For reading."""
     columns = [*TRIPLE, "justification", "confidence"]
     lines, before = ["subject | predicate | object | justification | confidence"], None
-    for r in rows.orderBy(*columns).limit(limit).collect():
+    ordered = rows.orderBy(*columns)
+    for r in (ordered if limit is None else ordered.limit(limit)).toLocalIterator():
         triple = f"{r.s_prefix}:{r.s_id} | {r.p} | {r.o_prefix}:{r.o_id}"
         lines.append(f"{triple if triple != before else ' |  | '} | {r.justification} | {'' if r.confidence is None else r.confidence}")
         before = triple

@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspan.schema import ROW_SCHEMA
-from veldspan.sinks.files import write_parquet
+from veldspan import graph
+from veldspan.schema import ROW, ROW_SCHEMA
+from veldspan.sinks.files import write_jsonl, write_parquet, write_property_graph
+from veldspan.sinks.sssom import write_sssom
 from veldspan.sources.files import exists
+from veldspan.workspace import Workspace, scratch
 
 Task = tuple[str, str, Callable[[], DataFrame]]
 SUMMARY_SCHEMA = "kind string, key string, seconds double, cached boolean, error string"
@@ -42,6 +45,15 @@ def build(spark: SparkSession, directory: str, tasks: Iterable[Task], *, refresh
     return rows, summary.join(sizes, ["kind", "key"], "left").fillna({"n": 0})
 
 
+def export(rows: DataFrame, directory: str, *, sets: DataFrame, set_id: str) -> None:
+    """The whole database as JSON lines, SSSOM and property graph, each written in parallel beside the sources."""
+    rows = rows.select(*ROW)
+    with scratch():
+        write_jsonl(rows, f"{directory}/mappings.jsonl")
+        write_sssom(rows, f"{directory}/mappings.sssom.tsv", set_id=set_id, sets=sets, single_file=False)
+        write_property_graph(graph.build(rows, sets, ws=Workspace(rows.sparkSession, "database")), f"{directory}/graph")
+
+
 def tabulate(summary: DataFrame) -> DataFrame:
     """Sources that gave rows, most first."""
     return summary.where("n > 0").orderBy(F.desc("n"), "kind", "key")

@@ -1,5 +1,6 @@
 """``python -m veldspan.plans.cli job FILE... [--refresh LEVEL]``: run jobs and write their exports.
-``python -m veldspan.plans.cli sources FILE DIRECTORY``: load every source of a JSON file ``{name: path}``, report sizes and times.
+``python -m veldspan.plans.cli sources FILE DIRECTORY``: load every source of a JSON file ``{name: path}``, report sizes and times, write all exports.
+``python -m veldspan.plans.cli landscape TERMS OUT FILE...``: run jobs, write each one's statistics and the table of all, over full term lists.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from veldspan.plans.build import build, tabulate
+from veldspan.plans.build import build, export, tabulate
 from veldspan.plans.config import Configuration
+from veldspan.schema import MAPPING_SETS_SCHEMA
+from veldspan.sinks.files import write_text
 from veldspan.sources.catalog import CATALOG
 
 
@@ -25,6 +28,10 @@ def main(argv: list[str] | None = None) -> None:
     sources = commands.add_parser("sources")
     sources.add_argument("file")
     sources.add_argument("directory")
+    land = commands.add_parser("landscape")
+    land.add_argument("terms")
+    land.add_argument("out")
+    land.add_argument("files", nargs="+")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("veldspan").getOrCreate()
     if args.command == "job":
@@ -33,10 +40,18 @@ def main(argv: list[str] | None = None) -> None:
             pack = one.assemble(spark, refresh=args.refresh)
             if not args.no_exports:
                 one.write_exports(spark, pack)
+    elif args.command == "landscape":
+        terms, lines = spark.read.schema("prefix string, id string").parquet(args.terms), []
+        for path in args.files:
+            one = Configuration.from_file(path)
+            lines.append(one.summarize(one.assemble(spark), terms))
+        columns = ("name", "total", "reduced", "reduction", "at_least_1", "only_1", "conserved", "raw_mappings", "processed_mappings", "priority_mappings")
+        write_text(spark, args.out, "\n".join("\t".join(map(str, row)) for row in [columns, *([x[c] for c in columns] for x in lines)]) + "\n")
     else:
         paths = json.loads(Path(args.file).read_text())
         tasks = [("custom", name, lambda name=name, path=path: CATALOG.get(name)(spark, path)) for name, path in paths.items()]
-        _, summary = build(spark, args.directory, tasks)
+        rows, summary = build(spark, args.directory, tasks)
+        export(rows, args.directory, sets=spark.createDataFrame([], MAPPING_SETS_SCHEMA), set_id="https://example.org/mappings/all.sssom.tsv")
         tabulate(summary).show(1000, truncate=False)
 
 

@@ -25,10 +25,11 @@ from veldspan.plans import landscape
 from veldspan.plans.assembly import process
 from veldspan.registry import REGISTRY
 from veldspan.schema import MAPPING_SETS_SCHEMA
-from veldspan.sinks.files import write_parquet, write_property_graph
+from veldspan.sinks.files import write_parquet, write_property_graph, write_text
 from veldspan.sinks.sssom import write_sssom
 from veldspan.sources.catalog import CATALOG, Catalog
 from veldspan.sources.files import exists, read_first, read_parquet
+from veldspan.workspace import Workspace, scratch
 
 
 class Pack(NamedTuple):
@@ -129,12 +130,15 @@ class Configuration:
         return hydrate_subsets(spark.createDataFrame(roots, "prefix string, ref_prefix string, ref_id string"), is_a)
 
     def assemble(
-        self, spark: SparkSession, *, refresh: str | None = None, is_a: DataFrame | None = None, catalog: Catalog = CATALOG, write: bool = True,
-    ) -> Pack:
+        self, spark: SparkSession, *, refresh: str | None = None, is_a: DataFrame | None = None, catalog: Catalog = CATALOG, write: bool = True, returning: str = "pack",
+    ) -> Pack | DataFrame | None:
         """Raw, processed and priority rows; levels that exist are read unless ``refresh`` names them or one before.
 
-        Levels are written as Parquet and read back, so none is computed twice.
+        Levels are written as Parquet and read back, so none is computed twice, and
+        their scratch tables go.  ``returning`` is ``pack``, a level's name, or ``none``.
         """
+        if returning not in ("pack", *Pack._fields, "none"):
+            raise ValueError(f"unknown return type: {returning}")
         levels = ("raw", "processed", "priority")
         if refresh not in (None, "source", *levels):
             raise ValueError(f"unknown level: {refresh}")
@@ -146,11 +150,11 @@ class Configuration:
             path = self.at(f"{name}.parquet")
             if levels.index(name) >= first or not exists(spark, path):
                 first = min(first, levels.index(name))
-                df = make()
                 if not write:
-                    out[name] = df
-                    return df
-                write_parquet(df, path)
+                    out[name] = make()
+                    return out[name]
+                with scratch():
+                    write_parquet(make(), path)
             out[name] = read_parquet(spark, path)
             return out[name]
 
@@ -169,29 +173,41 @@ class Configuration:
         pack = Pack(**out)
         for hook in self.hooks:
             hook(self, pack)
-        return pack
+        return {"pack": pack, "none": None}.get(returning, getattr(pack, returning, None))
 
     # outputs
 
-    def write_exports(self, spark: SparkSession, pack: Pack, *, sets: DataFrame | None = None, labels: DataFrame | None = None) -> None:
-        """SSSOM of all levels and the property graph of the processed one."""
-        for name, rows in zip(Pack._fields, pack, strict=True):
-            write_sssom(rows, self.at(f"{name}.sssom.tsv"), set_id=self.set_metadata(name)["id"], labels=labels, sets=sets)
-        sets = spark.createDataFrame([], MAPPING_SETS_SCHEMA) if sets is None else sets
-        write_property_graph(graph.build(pack.processed, sets, priority_rows=pack.priority, names=labels), self.at("graph"))
-
-    def summarize(self, pack: Pack, terms: DataFrame) -> dict:
-        """Statistics of a finished job; ``terms (prefix, id)`` are full lists.  Small tables are written beside the levels."""
-        began = time.time()
-        observed = counts.observed_terms(pack.raw)
-        over = landscape.overlaps(pack.raw, pack.processed, pack.priority, self.priority, terms, observed)
-        land = landscape.analyze(pack.processed, self.priority, terms, observed)
-        tables = {"raw_counts": over.raw, "processed_counts": over.processed, "priority_counts": over.priority}
-        for name, df in tables.items():
-            counts.pivot(df, self.priority).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", "true").csv(self.at(name))
-        one = land.summary().first().asDict()
-        out = one | {"name": self.name, "distribution": {r.n_prefixes: r.n for r in land.distribution().collect()}, "seconds": round(time.time() - began, 3)}
-        out |= {f"{name}_mappings": counts.source_target_counts(df).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for name, df in zip(Pack._fields, pack, strict=True)}
+    def write_exports(self, spark: SparkSession, pack: Pack, *, sets: DataFrame | None = None, labels: DataFrame | None = None, single_file: bool = False) -> None:
+        """SSSOM of all levels, in parallel unless ``single_file``, and the property graph of the processed one."""
+        with scratch():
+            for name, rows in zip(Pack._fields, pack, strict=True):
+                write_sssom(rows, self.at(f"{name}.sssom.tsv"), set_id=self.set_metadata(name)["id"], labels=labels, sets=sets, single_file=single_file)
+            sets = spark.createDataFrame([], MAPPING_SETS_SCHEMA) if sets is None else sets
+            one = graph.build(pack.processed, sets, priority_rows=pack.priority, names=labels, ws=Workspace(spark, "graph"))
+            write_property_graph(one, self.at("graph"))
+
+    def summarize(self, pack: Pack, terms: DataFrame, *, subset: DataFrame | None = None) -> dict:
+        """Statistics of a finished job; ``terms (prefix, id)`` are full lists, ``subset (prefix, id)`` the hydrated members of limited ones.
+
+        Overlaps count raw and processed mappings within the subsets.  The tables of
+        counts, sources and the landscape, and the statistics, are written beside the levels.
+        """
+        began, spark = time.time(), pack.raw.sparkSession
+        with scratch():
+            raw, processed = (rows if subset is None else filters.keep_subsets(rows, subset) for rows in (pack.raw, pack.processed))
+            observed = counts.observed_terms(pack.raw)
+            over = landscape.overlaps(raw, processed, pack.priority, self.priority, terms, observed)
+            land = landscape.analyze(processed, self.priority, terms, observed)
+            sources = Workspace(spark, "summary").save(landscape.summary_frame(self.priority, terms, observed, subset), "sources")
+            tables = {f"{name}_counts": counts.pivot(getattr(over, name), self.priority) for name in Pack._fields}
+            tables |= {"source_summary": sources, "landscape": land.upset()}
+            for name, df in tables.items():
+                df.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", "true").csv(self.at(name))
+            out = land.summary().first().asDict() | landscape.source_summary(sources).first().asDict()
+            out |= {"name": self.name, "distribution": {r.n_prefixes: r.n for r in land.distribution().collect()}, "seconds": round(time.time() - began, 3)}
+            mappings = (df.select("s_prefix", "s_id", "p", "o_prefix", "o_id").distinct().count() for df in (raw, processed, pack.priority))
+            out |= {f"{name}_mappings": n for name, n in zip(Pack._fields, mappings, strict=True)}
+        write_text(spark, self.at("statistics.json"), json.dumps(out, indent=2, default=str))
         return out
 
     def to_json(self) -> str:

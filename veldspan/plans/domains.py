@@ -26,27 +26,40 @@ class Domain:
     keep: str | None = None
 
 
-def _mesh(ids: str) -> tuple[str, ...]:
-    return tuple(f"mesh:{i}" for i in ids.split())
-
-
-def _types(ids: str) -> tuple[str, ...]:
-    return tuple(f"sty:{i}" for i in ids.split())
-
-
 _ICD = ("icd10cm", "icd10", "icd11", "icd9cm", "icd9", "icdo")
 DOMAINS = {
     "anatomy": Domain(
         "Anatomy", ("uberon", "mesh", "bto", "caro", "ncit", "umls"),
         {
-            "mesh": _mesh("D001829 D009141 D004064 D012137 D014566 D004703 D002319 D009420 D012679 D014024 D005441 D000825 D013284 D006424 D004628 D034582 D018514 D056229 D056226 D056224"),
-            "ncit": ("ncit:C12219",), "umls": _types("T024 T017"),
+            "mesh": (
+                "mesh:D001829",
+                "mesh:D009141",
+                "mesh:D004064",
+                "mesh:D012137",
+                "mesh:D014566",
+                "mesh:D004703",
+                "mesh:D002319",
+                "mesh:D009420",
+                "mesh:D012679",
+                "mesh:D014024",
+                "mesh:D005441",
+                "mesh:D000825",
+                "mesh:D013284",
+                "mesh:D006424",
+                "mesh:D004628",
+                "mesh:D034582",
+                "mesh:D018514",
+                "mesh:D056229",
+                "mesh:D056226",
+                "mesh:D056224",
+            ),
+            "ncit": ("ncit:C12219",), "umls": ("sty:T024", "sty:T017"),
         },
         {"uberon": 0.8, "bto": 0.65, "caro": 0.8, "ncit": 0.7, "umls": 0.7}, "before",
     ),
     "cell": Domain(
         "Cell and cell line", ("mesh", "efo", "cellosaurus", "ccle", "depmap", "bto", "cl", "clo", "ncit", "umls"),
-        {"mesh": ("mesh:D002477",), "efo": ("efo:0000324",), "ncit": ("ncit:C12508",), "umls": _types("T025")},
+        {"mesh": ("mesh:D002477",), "efo": ("efo:0000324",), "ncit": ("ncit:C12508",), "umls": ("sty:T025",)},
         dict.fromkeys(("efo", "bto", "cl", "clo", "depmap", "ccle", "cellosaurus", "ncit", "umls"), 0.7), "before",
     ),
     "complex": Domain(
@@ -54,7 +67,7 @@ DOMAINS = {
     ),
     "disease": Domain(
         "Disease", ("doid", "mondo", "efo", "mesh", "ncit", "orpha", "umls", "omim", "omim.ps", "gard", "medgen", *_ICD),
-        {"mesh": _mesh("D007239 D001520 D011579 D001523 D004191"), "efo": ("mondo:0000001",), "ncit": ("ncit:C2991",), "umls": _types("T049 T047 T191 T050 T048")},
+        {"mesh": ("mesh:D007239", "mesh:D001520", "mesh:D011579", "mesh:D001523", "mesh:D004191"), "efo": ("mondo:0000001",), "ncit": ("ncit:C2991",), "umls": ("sty:T049", "sty:T047", "sty:T191", "sty:T050", "sty:T048")},
         {"doid": 0.95, "mondo": 0.95, "efo": 0.9, "ncit": 0.7, "umls": 0.7, "orpha": 0.7}, "before",
     ),
     "education-level": Domain("Education level", ("isced1997", "isced2011", "isced2013", "kim.educationlevel", "oeh.educationlevel", "ans.educationlevel", "openeduhub.context")),

@@ -82,9 +82,41 @@ DEFAULT = (
 # Vocabularies of the domain configurations, OBO ontologies first; the others expand by a resolver.
 _MORE_OBO = {"caro": "CARO", "chmo": "CHMO", "fbbi": "FBbi", "fix": "FIX", "rex": "REX", "taxrank": "TAXRANK", "uberon": "UBERON"}
 _MORE = (
-    "ans.educationlevel ccle cgnc chembl.target civic.gid complexportal depmap flybase gard goldbook icd9 icd9cm icd10 icd11 icdo intact isced1997 isced2011 isced2013 "
-    "kim.educationlevel medgen mgi oeh.educationlevel omim.ps openeduhub.context orpha panet rgd scomp sgd signor sty tdwg.taxonrank wormbase"
-).split()
+    "ans.educationlevel",
+    "ccle",
+    "cgnc",
+    "chembl.target",
+    "civic.gid",
+    "complexportal",
+    "depmap",
+    "flybase",
+    "gard",
+    "goldbook",
+    "icd9",
+    "icd9cm",
+    "icd10",
+    "icd11",
+    "icdo",
+    "intact",
+    "isced1997",
+    "isced2011",
+    "isced2013",
+    "kim.educationlevel",
+    "medgen",
+    "mgi",
+    "oeh.educationlevel",
+    "omim.ps",
+    "openeduhub.context",
+    "orpha",
+    "panet",
+    "rgd",
+    "scomp",
+    "sgd",
+    "signor",
+    "sty",
+    "tdwg.taxonrank",
+    "wormbase",
+)
 DEFAULT += tuple(Prefix(p, f"{_OBO}{stem}_", r"^[0-9]+$") for p, stem in _MORE_OBO.items())
 DEFAULT += tuple(Prefix(p, f"https://identifiers.org/{p}:") for p in _MORE)
 

@@ -59,8 +59,9 @@ def write_sssom(rows: DataFrame, path: str, *, set_id: str, labels: DataFrame |
     """Write a table with header.
 
     ``prune`` leaves out empty columns.  ``single_file`` gives one file at
-    ``path`` (sorted; for exchange); otherwise ``path`` becomes a folder of
-    headerless parts and a ``header.txt``, written in parallel.
+    ``path`` (sorted, through the driver; for exchange); otherwise ``path`` becomes
+    a folder of headerless ``rows``, unsorted, and a ``header``, written in parallel.
+    Readers take both.
     """
     spark = rows.sparkSession
     ws = Workspace(spark, "sssom")
@@ -68,13 +69,12 @@ def write_sssom(rows: DataFrame, path: str, *, set_id: str, labels: DataFrame |
     columns = used_columns(table) if prune else list(COLUMNS)
     head = [*_header(table, set_id, registry), "\t".join(columns)]
     text = F.concat_ws("\t", *(F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]", " "), F.lit("")) for c in columns))
-    lines = table.orderBy("subject_id", "predicate_id", "object_id", "record_id").select(text.alias("value"))
     if single_file:
         at = f"{ws.path}/lines"
-        lines.write.option("compression", "none").text(at)
+        table.orderBy("subject_id", "predicate_id", "object_id", "record_id").select(text.alias("value")).write.option("compression", "none").text(at)
         _join(spark, head, at, path, compress)
     else:
-        lines.write.mode("overwrite").option("compression", "gzip" if compress else "none").text(f"{path}/rows")
+        table.select(text.alias("value")).write.mode("overwrite").option("compression", "gzip" if compress else "none").text(f"{path}/rows")
         spark.createDataFrame([(x,) for x in head], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
     ws.drop()
 

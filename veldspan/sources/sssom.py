@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from veldspan.functions.refs import identifier_of, prefix_of
 from veldspan.registry import REGISTRY, Registry
 from veldspan.schema import MAPPING_SETS_SCHEMA, ROW
+from veldspan.sources.files import exists
 from veldspan.sources.rows import to_rows
 
-#: Lines that a header may have; it is read by the driver.
+#: Lines that a header may have; it is read by the driver.  A table whose header is longer isn't found, which raises.
 HEADER_LINES = 10_000
 FIELDS = (
     "subject_id", "predicate_id", "object_id", "mapping_justification", "confidence", "author_id", "mapping_source", "mapping_provider", "license", "comment", "derived_from",
@@ -44,12 +45,13 @@ def read_header(spark: SparkSession, path: str) -> dict:
 
 def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """All columns as text, and the header."""
-    head = read_header(spark, path)
+    parts = exists(spark, f"{path}/rows")  # a folder as it is written in parallel
+    head = read_header(spark, f"{path}/header" if parts else path)
     if "columns" not in head:
         raise ValueError(f"no table in {path}")
     schema = ", ".join(f"`{c}` string" for c in head["columns"])
-    reader = spark.read.schema(schema).option("sep", "\t").option("header", "true").option("comment", "#").option("enforceSchema", "true").option("quote", "").option("mode", "PERMISSIVE")
-    return reader.csv(path), head
+    reader = spark.read.schema(schema).option("sep", "\t").option("header", str(not parts).lower()).option("comment", "#").option("enforceSchema", "true").option("quote", "").option("mode", "PERMISSIVE")
+    return reader.csv(f"{path}/rows" if parts else path), head
 
 
 def _reference_ok(column: str, registry: Registry) -> F.Column:

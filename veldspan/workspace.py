@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,12 +38,28 @@ def _is_uuid(name: str) -> bool:
     return False
 
 
+_scopes: list[list[Workspace]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Scratch tables that are made within are removed at the end: for results that have been written or read by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for ws in _scopes.pop():
+            ws.drop()
+
+
 class Workspace:
     """A folder of scratch tables of one run; tables can be dropped early."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/veldspan-{label}-{uuid.uuid4().hex[:12]}"
+        if _scopes:
+            _scopes[-1].append(self)
 
     def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         """Write ``df`` (its shuffle files go once it is written) and read it back."""

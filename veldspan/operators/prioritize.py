@@ -11,6 +11,7 @@ from veldspan.functions.refs import curie, normalized_curie
 from veldspan.operators.components import components
 from veldspan.registry import REGISTRY
 from veldspan.schema import EXACT, OBJECT, ROW, SUBJECT
+from veldspan.workspace import Workspace
 
 
 def _position(priority: list[str], column: str) -> F.Column:
@@ -78,6 +79,22 @@ def update_literals(literals: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select(F.coalesce("o_prefix", "prefix").alias("prefix"), F.coalesce("o_id", "id").alias("id"), *kept)
 
 
+def followed(to: DataFrame, most_rounds: int = 20) -> DataFrame:
+    """``(prefix, id, o_prefix, o_id)`` whose objects have been followed to where they lead in the end.
+
+    Each round doubles the steps that are followed; star graphs need none.  Cycles raise.
+    """
+    ws, own = Workspace(to.sparkSession, "followed"), ["prefix", "id"]
+    to = ws.save(to, "step0")
+    for k in range(1, most_rounds + 1):
+        further = to.select(F.col("prefix").alias("o_prefix"), F.col("id").alias("o_id"), F.col("o_prefix").alias("n_prefix"), F.col("o_id").alias("n_id"))
+        if to.join(further, OBJECT, "left_semi").isEmpty():
+            return to
+        moved = to.join(further, OBJECT, "left").select(*own, F.coalesce("n_prefix", "o_prefix").alias("o_prefix"), F.coalesce("n_id", "o_id").alias("o_id"))
+        to = ws.save(moved, f"step{k}")
+    raise ValueError("remapping doesn't end: it has a cycle")
+
+
 def standardize_terms(terms: DataFrame) -> DataFrame:
     """Lexical terms with canonical ``db`` and ``source_db``; unknown ones stay."""
     return terms.withColumns({c: F.coalesce(REGISTRY.canonical_column(F.col(c)), F.col(c)) for c in ("db", "source_db")})
@@ -87,11 +104,11 @@ def reprioritize_terms(terms: DataFrame, rows: DataFrame, names: DataFrame | Non
     """Lexical terms moved onto the preferred reference, where they came from kept, repeats removed.
 
     ``terms (text, norm_text, db, id, entry_name, status, source, organism, source_db, source_id)``.
-    ``names (prefix, id, name)`` gives moved terms their entry's name.  Star graphs
-    have no chains, so one pass is enough.
+    ``names (prefix, id, name)`` gives moved terms their entry's name.  Rows that
+    lead from one reference to the next are followed to the last.
     """
-    to = check_projection(rows).select(F.col("s_prefix").alias("db"), F.col("s_id").alias("id"), *OBJECT).distinct()
-    out = terms.join(to, ["db", "id"], "left")
+    to = followed(check_projection(rows).select(F.col("s_prefix").alias("prefix"), F.col("s_id").alias("id"), *OBJECT).distinct())
+    out = terms.join(to.withColumnRenamed("prefix", "db"), ["db", "id"], "left")
     if names is None:
         out = out.withColumn("new_name", F.lit(None).cast("string"))
     else:

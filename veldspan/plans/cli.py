@@ -14,8 +14,8 @@ from pyspark.sql import SparkSession
 from veldspan.plans.build import build, export, tabulate
 from veldspan.plans.config import Configuration
 from veldspan.schema import MAPPING_SETS_SCHEMA
-from veldspan.sinks.files import write_text
 from veldspan.sources.catalog import CATALOG
+from veldspan.workspace import write_text
 
 
 def main(argv: list[str] | None = None) -> None:

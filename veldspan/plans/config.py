@@ -25,11 +25,11 @@ from veldspan.plans import landscape
 from veldspan.plans.assembly import process
 from veldspan.registry import REGISTRY
 from veldspan.schema import MAPPING_SETS_SCHEMA
-from veldspan.sinks.files import write_parquet, write_property_graph, write_text
+from veldspan.sinks.files import write_parquet, write_property_graph
 from veldspan.sinks.sssom import write_sssom
 from veldspan.sources.catalog import CATALOG, Catalog
 from veldspan.sources.files import exists, read_first, read_parquet
-from veldspan.workspace import Workspace, scratch
+from veldspan.workspace import Workspace, scratch, write_text
 
 
 class Pack(NamedTuple):

@@ -81,3 +81,15 @@ class Workspace:
 def remove(spark: SparkSession, uri: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_text(spark: SparkSession, uri: str, text: str, *, private: bool = False) -> None:
+    """A small file, through Hadoop's file systems; only its owner may read a ``private`` one."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    if private:
+        fs.setPermission(path, jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
+    out.write(bytearray(text.encode()))
+    out.close()

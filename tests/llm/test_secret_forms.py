@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import time
 
 import pytest
 
@@ -71,3 +72,20 @@ def test_key_run_together_with_a_name():
 @pytest.mark.parametrize("text", [pem(wrapped(rng.randbytes(320))), pem(wrapped(DIGEST)), wrapped(rng.randbytes(400)), "www.example.com a.b.c.d"])
 def test_noise(text):
     assert not [s for s in secretscan.find(text) if s[2] in ("pem", "b64key", "jwt")]
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJhbGciOiJ9.", "b3BlbnNzaC1rZXktdjEA", "MIMA", "MIIE", "password", "token=", "AKIA", "-----BEGIN PRIVATE KEY-----", "30", "a.", "\\n"])
+def test_time_grows_with_the_text(piece):
+    """Texts made to provoke a pattern: twice the text takes about twice the time."""
+
+    def seconds(size):
+        text = piece * (size // len(piece))
+        best = 1e9
+        for _ in range(2):
+            began = time.perf_counter()
+            secretscan.find(text)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    small, large = seconds(50_000), seconds(400_000)
+    assert large < 0.2 + 20 * small, (small, large)

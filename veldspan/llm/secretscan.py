@@ -18,8 +18,11 @@ nest exactly and whose first is a small INTEGER (the version).
 
 Spans are in code points, end exclusive.  Within a kind matches don't overlap.
 
-Defined results: a null or empty text has no spans; repeated rows are scanned
-alike; an empty table gives no rows; nothing depends on text length.
+Defined results: a null or empty text has no spans; repeated rows, ties and null keys
+are scanned row by row; extra columns, of whatever name, are not read; an empty table
+gives no rows; a very long text is scanned whole, in time that grows with its length:
+every pattern is possessive or a single run, and candidates are decoded only once their
+first bytes look like a key's.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import binascii
 import json
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -112,28 +115,29 @@ def is_der_key(data: bytes) -> bool:
     return len(parts) >= 9 and all(p[0] == 0x02 for p in parts[:9]) or parts[1][0] == 0x04 or parts[1][0] == 0x30 and parts[2][0] == 0x04
 
 
-def openssh_end(data: bytes) -> int | None:
-    """Where an OpenSSH key ends: magic, then cipher, kdf, kdf options, a count, and as many public keys and a private part by length."""
-    if not data.startswith(_OPENSSH):
-        return None
+def openssh_end(read: Callable[[int], bytes], limit: int) -> int | None:
+    """Where an OpenSSH key ends: magic, then cipher, kdf, kdf options, a count, and as many public keys and a private part by length.
+
+    ``read(at)`` gives the four bytes there; nothing else is read, so the keys' lengths cost nothing.
+    """
     at = len(_OPENSSH)
 
     def field() -> bool:
         nonlocal at
-        if at + 4 > len(data):
+        if at + 4 > limit:
             return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at <= len(data)
+        at += 4 + int.from_bytes(read(at), "big")
+        return at <= limit
 
-    if not (field() and field() and field()) or at + 4 > len(data):
+    if not (field() and field() and field()) or at + 4 > limit:
         return None
-    n = int.from_bytes(data[at : at + 4], "big")
+    n = int.from_bytes(read(at), "big")
     at += 4
     return at if 1 <= n <= 16 and all(field() for _ in range(n + 1)) else None
 
 
 def is_openssh_key(data: bytes) -> bool:
-    return openssh_end(data) == len(data)
+    return data.startswith(_OPENSSH) and openssh_end(lambda at: data[at : at + 4], len(data)) == len(data)
 
 
 def is_key(data: bytes | None) -> bool:
@@ -151,6 +155,13 @@ def is_armoured_key(body: str) -> bool:
     return bool(data) and len(data) >= 32 and len(data) % 8 == 0 and "4,ENCRYPTED" in joined and bool(_CIPHER.search(joined))
 
 
+def _four(body: str, start: int, at: int) -> bytes:
+    """Four bytes at a place of what is encoded from ``start``."""
+    chars = body[start + at // 3 * 4 : start + at // 3 * 4 + 8]
+    data = decode64(chars[: len(chars) - (len(chars) % 4 == 1)]) or b""
+    return data[at % 3 : at % 3 + 4]
+
+
 def bare_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Spans of keys in a base64 run, which may be wrapped; a key's own lengths say where it ends."""
     pieces = [(m.start(1), m[1]) for m in _PIECE.finditer(text, start, end) if m[1]]
@@ -164,12 +175,13 @@ def bare_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     while m := _KEY_START.search(body, i):
         i, a = m.start() + 1, m.start()
         if body[a] == "b":
-            data = decode64(body[a : a + (len(body) - a) // 4 * 4]) if (len(body) - a) % 4 == 1 else decode64(body[a:])
-            size = openssh_end(data) if data else None
+            size = openssh_end(lambda x, a=a: _four(body, a, x), (len(body) - a) * 3 // 4)
         else:
-            head = decode64(body[a : a + 8]) or b""
-            n = head[1] & 0x7F if len(head) == 6 and head[1] & 0x80 else 0
-            size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) if len(head) == 6 and n <= 4 else None
+            head = decode64(body[a : a + 16]) or b""
+            n = head[1] & 0x7F if len(head) == 12 and head[1] & 0x80 else 0
+            size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) if len(head) == 12 and n <= 4 else None
+            if size and not (head[2 + n] == 0x30 or head[2 + n : 4 + n] == b"\x02\x01" and head[4 + n] <= 3):
+                size = None  # neither a version nor an encryption scheme comes first, so the rest needn't be decoded
         chars = -(-size * 4 // 3) if size else 0
         if 40 <= chars <= len(body) - a and is_key(data := (decode64(body[a : a + chars]) or b"")[:size]) and len(data) == size:
             last = at(a + chars - 1) + 1

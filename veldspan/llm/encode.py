@@ -4,11 +4,13 @@ The tokenizer lower-cases, drops white space and cuts texts into pieces (runs of
 letters, single digits, other runs) before it merges within each.  Pieces recur,
 so each worker keeps the packed ids of those it has met; the store is bounded
 and is emptied when full.  Texts of plain letters are cut by one pattern; a word
-that holds anything unusual is encoded by the library as it stands.
+that holds anything unusual is encoded by the library as it stands.  A file whose
+normalizer or cutting differs from these steps is left to the library altogether.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -17,6 +19,15 @@ import numpy as np
 END_OF_WORD = "</w>"
 #: Pieces that a worker keeps, at most.
 KEEP = 1 << 20
+# The normalizer and the cutting that this module repeats, as tokenizer files state them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 # plain: letters that lower-case to one letter and compose with nothing, digits, ASCII signs and white space
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9ß-öø-ÿ\t-\r ]+")
@@ -37,6 +48,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        self.known = (steps["normalizer"], steps["pre_tokenizer"], steps["model"].get("end_of_word_suffix")) == (NORMALIZER, CUTTING, END_OF_WORD)
         self.by_piece = Tokenizer(self.tokenizer.model)  # the same merges, for text that is cut and mapped already
         self.by_piece.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.letters = _byte_letters()
@@ -77,7 +90,9 @@ class Encoder:
         out = []
         for t in texts:
             s = t.decode()
-            if _PLAIN.fullmatch(s) and "<|" not in s:
+            if not self.known:
+                out.append(self.whole(s))
+            elif _PLAIN.fullmatch(s) and "<|" not in s:
                 out.append(self._plain(s))
             else:
                 words = [w.decode() for w in t.split()]

@@ -8,8 +8,9 @@ total that is left when each document is cut off at a limit, since
 Suffix sums run in two levels (blocks of lengths, then within a block), so no
 task holds all lengths.
 
-Defined results: a null text is empty; repeated rows count each; an empty table
-gives no rows.
+Defined results: a null text is empty; repeated rows count each; ties (documents of
+equal length) are one line; null keys don't matter; a very long text is encoded whole;
+extra columns, of whatever name, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

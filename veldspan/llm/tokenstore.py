@@ -13,8 +13,10 @@ names.  Files are written and read through pyarrow's file systems, in the folder
 that all executors share.
 
 Defined results: a null text is empty (it holds the end id alone); null keys come
-first and share one key of their own; rows of equal key are ordered by a hash of
-their text and all are kept; an empty table gives an empty manifest and no rows.
+first and share one key of their own, as which a key of -2**63 is held too; rows of
+equal key are ordered by a hash of their text and all are kept; a very long text is
+encoded whole and its ids are flushed in pieces; extra columns, of whatever name,
+are not read; an empty table gives an empty manifest and no rows.
 """
 
 from __future__ import annotations
@@ -212,28 +214,33 @@ def read_back(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 yield from _records(data, shard, np.dtype("<u2" if width == 2 else "<u4"), base)
 
     shards = read_manifest(spark, path).select("shard", "width", "base")
-    rows = shards.repartition("shard").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    n = max(1, shards.count())  # a task for each shard, as in writing; few small rows would else end in one task
+    rows = shards.repartitionByRange(n, "base", "shard").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
     return rows.select(F.nullif("key", F.lit(NULL_KEY)).alias(key), "start", "n_tokens", "ids_crc32")
 
 
 def _records(data: str, shard: str, dtype: np.dtype, base: int, step: int = 10_000) -> Iterator[pa.RecordBatch]:
-    """The shard's records, ``step`` at a time; each is found by its key."""
+    """The shard's records, ``step`` keys at a time: each key is looked up, and read at the offsets that its slot leads to."""
     files, folder = _open(data)
     with files.open_input_file(f"{folder}/{shard}.idx") as f:
         index = ShardIndex(f.read())
-    first, copies = index.find(index.keys)
-    rows = np.arange(len(index.keys))
-    if ((rows < first) | (rows >= first + copies)).any():
-        raise ValueError(f"shard {shard}: its index doesn't lead to its records")
+    keys = index.keys[np.flatnonzero(np.r_[True, index.keys[1:] != index.keys[:-1]])] if len(index.keys) else index.keys
     with files.open_input_file(f"{folder}/{shard}.bin") as f:
-        for a in range(0, len(rows), step):
-            z = min(len(rows), a + step)
-            ends = index.offsets[a : z + 1]
-            crc = []
-            f.seek(int(ends[0]) * dtype.itemsize)
-            for n in np.diff(ends).tolist():
-                crc.append(zlib.crc32(np.frombuffer(f.read(n * dtype.itemsize), dtype).astype("<u4")))
-            columns = [index.keys[a:z], base + ends[:-1], np.diff(ends), np.array(crc, np.int64)]
+        for a in range(0, len(keys), step):
+            own = keys[a : a + step]
+            first, copies = index.find(own)
+            if (first < 0).any():
+                raise ValueError(f"shard {shard}: its index doesn't lead to all of its keys")
+            begun = np.cumsum(copies) - copies
+            rows = np.repeat(first - begun, copies) + np.arange(int(copies.sum()))
+            begin, end = index.offsets[rows], index.offsets[rows + 1]
+            crc, at = [], -1
+            for x, z in zip(begin.tolist(), end.tolist(), strict=True):
+                if x != at:
+                    f.seek(x * dtype.itemsize)
+                at = z
+                crc.append(zlib.crc32(np.frombuffer(f.read((z - x) * dtype.itemsize), dtype).astype("<u4")))
+            columns = [np.repeat(own, copies), base + begin, end - begin, np.array(crc, np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "start", "n_tokens", "ids_crc32"])
 
 

@@ -6,16 +6,20 @@ anew by the bits it doesn't share: four bytes of the other 32 bits, then four
 nibbles of the other 16, with the same argument each time, which ends at buckets
 of at most 256 different fingerprints.  No pair is lost and no bucket is large.
 
-Within a bucket fingerprints are stored vertically, a bit plane for each bit.
-One query's distances to all others are counted at once by carry-save counters
-of two bits; a query is abandoned once all distances exceed the radius.  A
-bucket yields a spanning star of each linked set rather than its pairs.
+Fingerprints are stored vertically, a bit plane for each bit, with all buckets of
+a batch, small and large, side by side.  The planes meet themselves moved by 1, 2,
+3 ... lanes: the distances of all rows to the next, second next ... of their bucket
+are counted at once by carry-save counters of two bits, and a block of lanes is
+abandoned once all of its distances exceed the radius.  A bucket yields a spanning
+star of each linked set rather than its pairs.
 
 Equal fingerprints are one node, however many documents share one.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any
 other; repeated rows are linked; rows of null key take part but never name a
-component; a component of null keys alone has a null id; an empty table gives no rows.
+component; a component of null keys alone has a null id; of equal keys and of ties the
+smallest key names; a very long text is hashed in pieces; extra columns, of whatever
+name, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,30 +34,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspan.components import connected_components
-from veldspan.llm.common import arrow_map, batch, bounded_batches, numbered, raw
+from veldspan.llm.common import arrow_map, batch, bounded_batches, joined_words, numbered, raw
 from veldspan.workspace import Workspace
 
 #: Fingerprints of a bucket, at most.
 MOST = 2048
-_SMALL = 24
 RADIUS = 2
+#: Shingles that are hashed, words of 64 lanes that are compared, and pairs that are held at once.
+AT_ONCE, BLOCK_WORDS, FOLD = 1 << 16, 256, 1 << 20
+_FULL = np.uint64(2**64 - 1)
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    words = text.lower().split()  # bytes.lower() changes A-Z only
-    if not words:
+    joined, starts, ends = joined_words(text.lower())  # bytes.lower() changes A-Z only
+    if not joined:
         return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(sizes) - 1
-        starts = ends + 1 - sizes
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").tobytes(), "little")
+    n = max(1, len(starts) - shingle + 1)
+    ends, digest, ones = ends[min(shingle, len(ends)) - 1 :], xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    for a in range(0, n, AT_ONCE):
+        spans = zip(starts[a : min(n, a + AT_ONCE)].tolist(), ends[a : a + AT_ONCE].tolist(), strict=True)
+        hashes = np.array([digest(joined[x:z], seed) for x, z in spans], "<u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 3) -> DataFrame:
@@ -109,69 +111,77 @@ def buckets(nodes: DataFrame, ws: Workspace, most: int = MOST) -> DataFrame:
     return out
 
 
-def within_radius(fps: np.ndarray, radius: int = RADIUS) -> Iterator[np.ndarray]:
-    """For each fingerprint of a bucket the mask of those within the radius (at most 3)."""
-    n = len(fps)
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    planes = bits.T[(bits != bits[0]).any(0)]  # planes in which all agree add nothing
-    pad = -n % 64
-    packed = np.packbits(np.pad(planes, ((0, 0), (0, pad))), axis=1, bitorder="little").view("<u8")
-    full = np.uint64(2**64 - 1)
-    for q in range(n):
-        ones = np.zeros(packed.shape[1], np.uint64)
-        twos, over = ones.copy(), ones.copy()
-        for k, plane in enumerate(packed):
-            differ = plane ^ full if planes[k, q] else plane
+def _packed(flags: np.ndarray) -> np.ndarray:
+    """Flags along the last axis as bits of 64-bit words, with words of zeros behind."""
+    n = flags.shape[-1]
+    pad = [(0, 0)] * (flags.ndim - 1) + [(0, -n % 64 + 64)]
+    return np.packbits(np.pad(flags, pad), axis=-1, bitorder="little").view("<u8")
+
+
+def _within(planes: np.ndarray, off: int, same: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """Lanes ``i`` in which rows ``i`` and ``i + off`` are within the radius, of those marked in ``same``.
+
+    All lanes of a block are compared at once, plane by plane: counters of two bits
+    take the differing bits by carry-save additions, and ``over`` keeps the lanes
+    that have left the radius.  A block is abandoned once no lane is left.
+    """
+    words, bits = divmod(off, 64)
+    for a in range(0, len(same), BLOCK_WORDS):
+        near = same[a : a + BLOCK_WORDS]
+        z = a + len(near)
+        if not near.any():
+            continue
+        other = planes[:, a + words : z + words]
+        if bits:
+            other = other >> np.uint64(bits) | planes[:, a + words + 1 : z + words + 1] << np.uint64(64 - bits)
+        ones = np.zeros(len(near), np.uint64)
+        twos, over = ones.copy(), ~near
+        for k, differ in enumerate(planes[:, a:z] ^ other):
             carry = ones & differ
             ones = ones ^ differ
             over |= twos & carry
             twos = twos ^ carry
             if radius < 3:
                 over |= ones & twos
-            if k % 8 == 7 and (over == full).all():
+            if k % 8 == 7 and (over == _FULL).all():
                 break
-        bad = over if radius >= 2 else over | twos if radius == 1 else over | twos | ones
-        yield ~np.unpackbits(bad.view(np.uint8), bitorder="little")[:n].astype(bool)
-
-
-def _star(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """``(fp, root)`` of the linked sets of one bucket, by search from each unseen fingerprint."""
-    links = list(within_radius(fps, radius))
-    seen, out = np.zeros(len(fps), bool), []
-    for root in range(len(fps)):
-        if seen[root]:
-            continue
-        seen[root], todo = True, [root]
-        while todo:
-            new = np.flatnonzero(links[todo.pop()] & ~seen)
-            seen[new] = True
-            todo += new.tolist()
-            out += [(int(fps[x]), int(fps[root])) for x in new]
-    return out
-
-
-def _links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of all buckets of sorted rows; ``groups`` numbers them."""
-    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    sizes = np.diff(np.r_[starts, len(groups)])
-    a, b = [], []
-    u = fps.view(np.uint64)
-    for s, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        for x, root in _star(u[s : s + n], radius):
-            a.append(x)
-            b.append(root)
-    small = np.repeat(sizes <= _SMALL, sizes)
-    left, right = [np.array(a, np.uint64)], [np.array(b, np.uint64)]
-    label = np.arange(len(groups))
-    pairs = []
-    for off in range(1, min(_SMALL, len(groups))):
-        i = np.flatnonzero(small[off:] & (groups[off:] == groups[:-off]))
-        if not len(i):
-            break
-        i = i[np.bitwise_count(u[i] ^ u[i + off]) <= radius]
-        pairs.append((i, i + off))
-    if pairs:
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        else:
+            bad = over if radius >= 2 else over | twos if radius == 1 else over | twos | ones
+            lanes = np.flatnonzero(np.unpackbits(np.ascontiguousarray(~bad).view(np.uint8), bitorder="little"))
+            if len(lanes):
+                yield 64 * a + lanes
+
+
+def within_radius(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs ``(i, j)`` of rows of one group within the radius (2 at most); groups adjoin, of whatever sizes.
+
+    Bit planes hold all groups side by side.  The planes, moved by 1, 2, 3 ... lanes,
+    meet themselves, so each step compares every row with one more of its group.
+    """
+    rows = np.arange(len(fps))
+    off, again = 1, 1
+    while True:
+        if off == again:  # leave out the groups that have no pair this far apart
+            again *= 2
+            sizes = np.unique(groups[rows], return_inverse=True, return_counts=True)
+            rows = rows[sizes[2][sizes[1]] > off] if len(rows) else rows
+            if not len(rows):
+                return
+            own, bits = groups[rows], np.unpackbits(fps[rows].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            planes = np.pad(_packed(np.ascontiguousarray(bits.T)), ((0, 0), (0, (again >> 6) + 2)))
+        same = own[off:] == own[:-off]
+        if not same.any():
+            return
+        for i in _within(planes, off, _packed(same)[:-1], radius):
+            yield rows[i], rows[i + off]
+        off += 1
+
+
+def _stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, root)`` of the linked sets of rows; pairs are folded as they come, so they needn't be held."""
+
+    def folded(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        label = np.arange(n)
         while True:  # smallest reachable row
             before = label.copy()
             np.minimum.at(label, j, label[i])
@@ -179,10 +189,25 @@ def _links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
             label = label[label]
             if (label == before).all():
                 break
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        left.append(u[moved])
-        right.append(u[label[moved]])
-    return np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+        moved = np.flatnonzero(label != np.arange(n))
+        return moved, label[moved]
+
+    held, size = [], 0
+    for pair in pairs:
+        held.append(pair)
+        size += len(pair[0])
+        if size > FOLD:
+            held = [folded(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            size = 0
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return folded(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of all buckets of sorted rows; ``groups`` numbers them."""
+    row, root = _stars(len(fps), within_radius(fps.view(np.uint64), groups, radius))
+    return fps[row], fps[root]
 
 
 def links(groups: DataFrame, radius: int = RADIUS) -> DataFrame:

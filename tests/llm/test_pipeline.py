@@ -105,3 +105,13 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_token_shards_on_odd_rows(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "One two", 5, "x"), (1, "One two", 5, "x"), (None, "three", None, None), (2, None, 1, "y"), (3, "", 1, "y"), (None, None, 2, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, key string")  # names of the result and of the operator's own
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in corpus_pipeline.STAGES[4][1](spark, docs, SF).collect())
+    want = brute.token_rows([(-1 if k is None else k, t or "") for k, t, *_ in rows], Tokenizer.from_file(q.vocabulary()))
+    assert got == sorted((str(None if k == -1 else k), n, crc) for k, _, n, crc in want)

@@ -1,4 +1,8 @@
-"""Near-dedup of whole documents by resemblance of their word shingles.
+"""Operator 3 for whole documents: near-dedup by resemblance of their word shingles.
+
+SimHash alone can't do it: at a similarity of 0.8 fingerprints of 64 bits differ in
+ten bits on average, far beyond any radius that blocks can key.  So candidates come
+from minimum hashes too, and whole sets decide.
 
 Two documents are linked if the Jaccard similarity of their sets of five-word
 shingles is at least 0.8, computed on the whole sets, or if their SimHash
@@ -15,8 +19,9 @@ Words are split and lowered as in ``simhash``; a text of fewer words than a shin
 has one shingle.  Documents of equal sets are one node.
 
 Defined results: null and empty texts have the empty set and are linked to each
-other; repeated rows are linked; a row of null key stays only if its group has no
-other; an empty table gives no rows.
+other; repeated rows are linked; of equal keys the first row stays, and a row of null
+key only if its group has no other; a very long text is compared whole; extra columns
+pass by untouched; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from veldspan.components import connected_components
 from veldspan.llm import simhash
-from veldspan.llm.common import arrow_map, batch, numbered, raw
+from veldspan.llm.common import arrow_map, batch, joined_words, numbered, raw
 from veldspan.workspace import Workspace
 
 SHINGLE, LEAST = 5, 0.8
@@ -42,16 +47,12 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order."""
-    words = text.lower().split()
-    if not words:
+    joined, starts, ends = joined_words(text.lower())
+    if not joined:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    k = min(shingle, len(words))
-    digest = xxhash.xxh3_64_intdigest
-    starts = (ends + 1 - sizes)[: len(words) - k + 1]
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
+    k, digest = min(shingle, len(starts)), xxhash.xxh3_64_intdigest
+    spans = zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:z]) for a, z in spans), np.uint64, len(starts) - k + 1))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -111,29 +112,55 @@ def _could(n: str, m: str):
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
-def resembling(table: DataFrame, rows: DataFrame, text: str, ws: Workspace) -> DataFrame:
-    """``(a, b)``: similar sets, enough of them to span all components; only texts with a candidate are read again."""
+def _candidates(table: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """``members (h, sid, n)`` of each band's buckets of several sets, and ``stars (a, b)`` of each bucket's least and greatest set."""
     nodes = table.where("n > 0").groupBy("sid", "n").agg(F.first("bands").alias("bands"))
     members = nodes.select("sid", "n", F.explode("bands").alias("h"))
     ends = members.groupBy("h").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max(F.struct("sid", "n")).alias("hi")).where("lo.sid <> hi.sid")
     ends = ws.save(members.join(ends, "h"), "members")
-    members = ends.select("h", "sid", "n")
+    stars = ends.select("sid", "n", F.explode(F.array("lo", "hi")).alias("e")).where("sid <> e.sid").where(_could("n", "e.n"))
+    return ends.select("h", "sid", "n"), ws.save(stars.select(F.least("sid", "e.sid").alias("a"), F.greatest("sid", "e.sid").alias("b")).distinct(), "stars")
+
+
+def _by_fingerprint(table: DataFrame, ws: Workspace) -> DataFrame:
+    """``(a, b)``: sets whose texts have linked fingerprints, as a spanning forest."""
+    own = ws.save(table.select("fp", "sid").distinct(), "fingerprints")
+    least = own.groupBy("fp").agg(F.min("sid").alias("b"))
+    same = own.join(least, "fp").select(F.col("sid").alias("a"), "b").where("a <> b")
+    found = ws.save(simhash.links(simhash.buckets(own.select("fp").distinct(), ws)), "fingerprint_links")
+    other = found.join(least, "fp").select("root", F.col("b").alias("a")).join(least.withColumnRenamed("fp", "root"), "root").select("a", "b").where("a <> b")
+    return ws.save(same.unionByName(other), "by_fingerprint")
+
+
+def _named(nodes: DataFrame, parts: DataFrame, column: str) -> DataFrame:
+    """``nodes`` with ``part``: the component of ``column``, or itself."""
+    return nodes.join(parts.select(F.col("node").alias(column), "component"), column, "left").select(*nodes.columns, F.coalesce("component", column).alias("part"))
+
+
+def groups(table: DataFrame, rows: DataFrame, text: str, ws: Workspace) -> DataFrame:
+    """``sid, part`` of the sets that are linked to others; only texts with a candidate are read again."""
+    members, stars = _candidates(table, ws)
     one = table.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("key.row").alias("__row"))
     sets = ws.save(_sets(rows.join(ws.save(one, "one"), "__row"), text), "sets")
-    # the least and the greatest of each bucket
-    stars = ends.select("sid", "n", F.explode(F.array("lo", "hi")).alias("e")).where("sid <> e.sid").where(_could("n", "e.n"))
-    stars = ws.save(stars.select(F.least("sid", "e.sid").alias("a"), F.greatest("sid", "e.sid").alias("b")).distinct(), "stars")
-    found = ws.save(_similar(stars, sets), "links1")
+    links = _by_fingerprint(table, ws).unionByName(ws.save(_similar(stars, sets), "links"))
+    parts = ws.save(connected_components(links, "a", "b"), "parts")
     # what several components of a bucket may still link
-    parts = connected_components(found, "a", "b").withColumnsRenamed({"node": "sid", "component": "part"})
-    named = members.join(parts, "sid", "left").select("h", "sid", "n", F.coalesce("part", "sid").alias("part"))
-    named = ws.save(named, "named")
+    named = ws.save(_named(members, parts, "sid"), "named")
     several = named.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("h")
     left = ws.save(named.join(several, "h", "left_semi"), "several")
     right = left.select("h", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
     across = left.withColumnRenamed("sid", "a").join(right, "h").where("a < b AND part <> other").where(_could("n", "m")).select("a", "b").distinct()
-    more = ws.save(across.join(stars, ["a", "b"], "left_anti"), "across")
-    return found.unionByName(ws.save(_similar(more, sets), "links2"))
+    more = ws.save(_similar(ws.save(across.join(stars, ["a", "b"], "left_anti"), "across"), sets), "more")
+    own = parts.select(F.col("node").alias("sid"), "component")
+    if more.isEmpty():
+        return own.withColumnRenamed("component", "part")
+    # components of components: a graph of the new links alone
+    a = _named(more, parts, "a").select("b", F.col("part").alias("x"))
+    met = connected_components(_named(a, parts, "b").select("x", F.col("part").alias("y")), "x", "y")
+    ends = more.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    every = own.unionByName(ends.join(own, "sid", "left_anti").withColumn("component", F.col("sid")))
+    to = met.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return every.join(to, "component", "left").select("sid", F.coalesce("to", "component").alias("part"))
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,15 +169,8 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     rows = numbered(docs, ws)
     order = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col("__row").alias("row"))
     table = ws.save(_sketches(rows.select(order.alias("k"), F.col(text).alias("t")), "k", "t"), "sketches")
-    fps = ws.save(simhash.links(simhash.buckets(table.select("fp").distinct(), ws)), "fingerprints")
-    parts = connected_components(fps, "fp", "root")
-    by_fp = table.select("fp", "sid").distinct().join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-    by_fp = ws.save(by_fp.select("sid", F.coalesce("component", "fp").alias("part")).distinct(), "by_fp")
-    least = by_fp.groupBy("part").agg(F.min("sid").alias("b"))
-    links = by_fp.join(least, "part").select(F.col("sid").alias("a"), "b").where("a <> b").unionByName(resembling(table, rows, text, ws))
-    parts = connected_components(ws.save(links, "links"), "a", "b")
-    named = table.select("key", "sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left")
-    named = ws.save(named.select("key", F.coalesce("component", "sid").alias("part")), "parts")
+    named = table.select("key", "sid").join(groups(table, rows, text, ws), "sid", "left")
+    named = ws.save(named.select("key", F.coalesce("part", "sid").alias("part")), "groups")
     stays = named.groupBy("part").agg(F.min("key").alias("first"))
     gone = ws.save(named.join(stays, "part").where("key <> first").select(F.col("key.row").alias("__row")), "gone")
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)

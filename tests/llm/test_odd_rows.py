@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,22 +49,41 @@ def test_quality(docs, empty):
 
 
 def test_thresholds_against_sorted_values(spark):
-    """Fences lie within a sketch's error of the quartiles of sorted values, and small groups take the coarser ones."""
+    """Fences lie within a sketch's error of the quantiles of sorted values, and small groups take the coarser ones."""
     import random
 
     rng = random.Random(3)
     values = [("a" if i < 900 else "b", rng.randrange(10_000)) for i in range(930)]
     df = spark.createDataFrame(values, "g string, v long")
-    rule = quality.Rule("m", "v", 1, low=True)
-    fences = {r.g: r for r in quality.thresholds(quality.sketch(df, ["g"], {"m": F.col("v")}), ["g"], (rule,), 3.0, 100).collect()}
+    rules = quality.Rule("m", "v", 1, tail=10, reach=3, low=True), quality.Rule("x", "v", 9000, tail=1, reach=1)
+    metrics = {"m": F.col("v"), "x": F.col("v")}
+    fences = {r.g: r for r in quality.thresholds(quality.sketch(df, ["g"], metrics), ["g"], rules, 100).collect()}
 
-    def at(vs, q):
+    def at(vs, percent):
         vs = sorted(vs)
-        return vs[(len(vs) * q + 3) // 4 - 1]
+        return vs[max(1, (len(vs) * percent + 99) // 100) - 1]
 
     for g, vs in (("a", [v for x, v in values if x == "a"]), ("b", [v for _, v in values])):
-        q1, q3 = at(vs, 1), at(vs, 3)
-        assert fences[g].low_m == pytest.approx(q1 - 3 * (q3 - q1), rel=0.04) and fences[g].high_m == pytest.approx(q3 + 3 * (q3 - q1), rel=0.04)
+        low, mid, high, top = (at(vs, p) for p in (10, 50, 90, 99))
+        assert fences[g].low_m == pytest.approx(low - 3 * (mid - low), rel=0.04) and fences[g].high_m == pytest.approx(high + 3 * (high - mid), rel=0.04)
+        assert fences[g].high_x == pytest.approx(top + 9000, rel=0.02) and fences[g].decided_by_floor == "x"  # a tail of 4,900 counts as 9,000
+
+
+def test_thresholds_follow_their_group(spark):
+    """The same text is ordinary in one source and an outlier in another: no fixed cutoff can tell."""
+    import random
+
+    rng = random.Random(5)
+
+    def text(size, n=80):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(max(2, round(rng.gauss(size, 0.4))))) for _ in range(n))
+
+    rows = [(k, text(4), "en", "short") for k in range(150)] + [(1000 + k, text(12), "en", "long") for k in range(150)]
+    rows += [(5000, text(12), "en", "short"), (5001, text(4), "en", "long"), (5002, text(12), "en", "long"), (5003, text(4), "en", "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert not got[5000] and not got[5001] and got[5002] and got[5003]
+    assert sum(got[k] for k, *_ in rows[:300]) >= 297
 
 
 def test_bucket_bounds(spark):
@@ -88,9 +108,22 @@ def test_token_store(spark, docs, empty):
     assert tokenstore.write(empty, none, vocabulary()).isEmpty() and tokenstore.read_back(spark, none).isEmpty()
 
 
-def test_perfect_hash():
-    import numpy as np
+def test_records_are_read_where_the_hash_leads(spark, monkeypatch):
+    path = Workspace(spark, "odd").path
+    tokenstore.write(spark.createDataFrame([(k, f"word{k} " * k) for k in range(1, 40)], "doc_id long, text string"), path, vocabulary())
+    want = {r.doc_id: r.n_tokens for r in tokenstore.read_back(spark, path).collect()}
+    data = f"{path}/data"
+    find = tokenstore.ShardIndex.find
+    for row in tokenstore.read_manifest(spark, path).collect():
+        good = {k: n for b in tokenstore._records(data, row.shard, np.dtype("<u2"), 0) for k, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)}
+        assert good == {k: want[k] for k in good}
+        monkeypatch.setattr(tokenstore.ShardIndex, "find", lambda self, keys: tuple(x[::-1] for x in find(self, keys)))
+        bad = {k: n for b in tokenstore._records(data, row.shard, np.dtype("<u2"), 0) for k, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)}
+        monkeypatch.setattr(tokenstore.ShardIndex, "find", find)
+        assert len(good) < 2 or bad != good
+
 
+def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
     index = tokenstore.ShardIndex(tokenstore.build_index(keys, np.arange(len(keys))))
     assert sorted(index.hash.slots(keys)) == list(range(len(keys)))
@@ -187,7 +220,7 @@ def test_substring_batches_are_as_one(spark):
         batch = spark.createDataFrame(data[a : a + 10], "doc_id long, text string")
         got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in index.dedup(batch).collect()}
     assert got == want
-    assert index.runs.groupBy("shard").count().where(F.col("count") >= substrings.FANOUT).isEmpty()
+    assert index.runs.groupBy("shard").count().where(F.col("count") > substrings.FANOUT).isEmpty()
 
 
 def test_surrogates_keep_other_columns_out(docs):
@@ -247,3 +280,19 @@ def test_decontaminate_both_ways_agree(docs, items):
     a = decontaminate.decontaminate(docs, items)
     b = decontaminate.decontaminate(docs, items, max_literals=0)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_mix_buckets_are_small_whatever_the_quality(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat("id", F.lit(f"{i}"))) for i in range(3))).alias("text"), F.lit("a").alias("source"))
+    for docs in (rows, rows.withColumn("text", F.regexp_replace("text", "[a-f]", "7")), rows.withColumn("text", F.when(F.col("doc_id") % 2 == 0, "1 2 3").otherwise(F.col("text")))):
+        most = mixing._scored(docs, "doc_id", "source", "text", "mix").groupBy("bucket").count().agg(F.max("count")).first()[0]
+        assert most <= 40  # 20,000 / (e * 1477) = 5 are expected
+
+
+def test_mix_takes_nothing_of_a_source_without_words(spark):
+    docs = spark.createDataFrame([(1, "", "empty"), (2, None, "empty"), (3, "one two three", "full"), (4, "", "full"), (5, "four", "full")], "doc_id long, text string, source string")
+    out = {r.doc_id: (r.epochs, r.selected, r.taken) for r in mixing.mix(docs).collect()}
+    assert out[1] == out[2] == (0, False, 0)
+    kept = sorted(r.doc_id for r in mixing.mixed(docs).collect())
+    assert not {1, 2} & set(kept) and max(kept.count(k) for k in kept) <= 2
+    assert {k: kept.count(k) for k in out} == {k: e + s for k, (e, s, _) in out.items()}

@@ -52,13 +52,15 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN g ON g.doc_id = d.doc_id AND g.i = p
 """
 
 
-def _fence(metric: str, level: str) -> str:
-    """Quartiles of a metric's buckets by order, and the number of documents."""
-    own = f"list(b_{metric} ORDER BY b_{metric})"
-    at = lambda q: f"{own}[(count(*) * {q} + 3) // 4]"
-    low = f"({at(1)} - ({at(1)} >> 7) * 128) << ({at(1)} >> 7)"
-    high = f"(({at(3)} - ({at(3)} >> 7) * 128 + 1) << ({at(3)} >> 7)) - 1"
-    return f"{low} AS q1_{metric}_{level}, {high} AS q3_{metric}_{level}"
+def _fence(metric: str, tail: int, level: str) -> str:
+    """Both tails' quantiles and the median of a metric's buckets by order."""
+
+    def at(percent: int) -> str:
+        return f"list(b_{metric} ORDER BY b_{metric})[greatest(1, (count(*) * {percent} + 99) // 100)]"
+
+    least = lambda b: f"({b} - ({b} >> 7) * 128) << ({b} >> 7)"
+    most = lambda b: f"(({b} - ({b} >> 7) * 128 + 1) << ({b} >> 7)) - 1"
+    return f"{least(at(tail))} AS low_{metric}_{level}, {least(at(50))} AS mid_{metric}_{level}, {most(at(100 - tail))} AS high_{metric}_{level}"
 
 
 def _op1() -> str:
@@ -68,13 +70,13 @@ def _op1() -> str:
     buckets = ", ".join(f"greatest(0, length(bin(m_{r.metric})) - {BITS}) * {1 << BITS} + (m_{r.metric} >> greatest(0, length(bin(m_{r.metric})) - {BITS})) AS b_{r.metric}" for r in RULES)
     levels = {"a": "lang, source", "b": "lang", "c": ""}
     fences = ",\n".join(
-        f"f{k} AS (SELECT {g + ', ' if g else ''}count(*) AS size_{k}, {', '.join(_fence(r.metric, k) for r in RULES)} FROM b{' GROUP BY ' + g if g else ''})" for k, g in levels.items()
+        f"f{k} AS (SELECT {g + ', ' if g else ''}count(*) AS size_{k}, {', '.join(_fence(r.metric, r.tail, k) for r in RULES)} FROM b{' GROUP BY ' + g if g else ''})" for k, g in levels.items()
     )
     beyond = []
     for r in RULES:
-        q1, q3 = (f"CASE WHEN size_a >= 100 THEN {q}_{r.metric}_a WHEN size_b >= 100 THEN {q}_{r.metric}_b ELSE {q}_{r.metric}_c END" for q in ("q1", "q3"))
-        spread = f"greatest({r.floor}, {q3} - {q1}) * 3.0"
-        beyond += [f"m_{r.metric} < {q1} - {spread}"] * r.low + [f"m_{r.metric} > {q3} + {spread}"] * r.high
+        low, mid, high = (f"CASE WHEN size_a >= 100 THEN {q}_{r.metric}_a WHEN size_b >= 100 THEN {q}_{r.metric}_b ELSE {q}_{r.metric}_c END" for q in ("low", "mid", "high"))
+        beyond += [f"m_{r.metric} < ({low}) - greatest({r.floor}, ({mid}) - ({low})) * {r.reach}"] * r.low
+        beyond += [f"m_{r.metric} > ({high}) + greatest({r.floor}, ({high}) - ({mid})) * {r.reach}"] * r.high
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 x AS (SELECT doc_id, k, w[k:k + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)),
@@ -82,7 +84,8 @@ r AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(k,
 s AS (
   SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS lines, coalesce(r.n, 0) AS n_repeat_words
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS lines, coalesce(r.n, 0) AS n_repeat_words
   FROM d LEFT JOIN r USING (doc_id)
 ),
 m0 AS (SELECT *, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM s),

@@ -8,9 +8,17 @@ order of merging, so reruns and recomputed tasks agree.  Sketches of groups
 under ``min_group`` documents are replaced by that of their language, and that
 by that of the corpus: coarser sketches are merges of the finer ones.
 
+A fence lies beyond a learnt tail quantile by ``reach`` times that tail's width,
+its distance from the median: ``Q(tail) + reach * (Q(tail) - Q(1/2))``, and the
+same downwards.  A rule's ``tail`` leaves out what may be junk: 1/10 where junk
+shows in many documents, 1/100 where it hardly does.  Only a tail narrower than
+``floor`` counts as that wide; ``decided_by_floor`` in ``thresholds`` tells where.
+
 Defined results: a null text has no words and fails the base rules; null
-language or source is a group of its own; repeated rows are judged alike, each
-by itself; an empty table gives no rows; extra columns pass by untouched.
+language or source is a group of its own; repeated rows and ties are judged alike,
+each by itself; a value on a fence is kept; a very long text is measured whole; an
+empty table gives no rows; extra columns, of whatever name, are not read or, in
+``keep``, pass by untouched.
 """
 
 from __future__ import annotations
@@ -33,24 +41,27 @@ BITS = 7
 
 @dataclass(frozen=True)
 class Rule:
-    """A measured integer and how far beyond the quartiles it may lie.
+    """A measured integer and how far beyond its tail it may lie.
 
-    ``floor`` is the least spread that counts, so a group whose documents are
-    nearly all alike doesn't reject those that differ a little.
+    ``tail`` is the share of a group, in percent, beyond the quantile that fences
+    start from.  ``floor`` is the least width of a tail that counts, so a group
+    whose documents are nearly all alike doesn't reject those that differ a little.
     """
 
     metric: str
     value: str  # SQL over the statistics' columns
     floor: int
+    tail: int = 10
+    reach: int = 3
     low: bool = False
     high: bool = True
 
 
 RULES = (
-    Rule("word_length", "100 * word_chars DIV greatest(n_words, 1)", 150, low=True),
-    Rule("symbols", "1000 * n_symbols DIV greatest(n_words, 1)", 60),
-    Rule("dup_lines", "1000 * n_dup_lines DIV greatest(n_lines, 1)", 150),
-    Rule("repeats", "1000 * n_repeat_words DIV greatest(n_words, 1)", 120),
+    Rule("word_length", "100 * word_chars DIV greatest(n_words, 1)", 10, low=True),
+    Rule("symbols", "1000 * n_symbols DIV greatest(n_words, 1)", 20),
+    Rule("dup_lines", "1000 * n_dup_lines DIV greatest(n_lines, 1)", 40, tail=1, reach=1),
+    Rule("repeats", "1000 * n_repeat_words DIV greatest(n_words, 1)", 40, tail=1, reach=1),
 )
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -138,55 +149,62 @@ def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """``(groups, metric, size, q1, q3)`` from each group's cumulated buckets."""
+def quantiles(sketches: DataFrame, groups: list[str], rules: tuple[Rule, ...]) -> DataFrame:
+    """``(groups, metric, size, low, mid, high)``: the median and both tails' quantiles from each group's cumulated buckets."""
     w = Window.partitionBy(*groups, "metric")
     total = F.sum("n").over(w)
     before = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     ranked = sketches.select("*", total.alias("size"), F.coalesce(before, F.lit(0)).alias("before"))
+    tail = F.lit(None).cast("int")
+    for r in rules:
+        tail = F.when(F.col("metric") == r.metric, r.tail).otherwise(tail)
 
-    def at(quarters: int) -> F.Column:
-        rank = F.floor((F.col("size") * quarters + 3) / 4)
+    def at(percent: F.Column) -> F.Column:
+        rank = F.greatest(F.floor((F.col("size") * percent + 99) / 100), F.lit(1))
         return (F.col("before") < rank) & (F.col("before") + F.col("n") >= rank)
 
+    b = F.col("bucket")
     return ranked.groupBy(*groups, "metric").agg(
-        F.max("size").alias("size"), F.max(F.when(at(1), lowest(F.col("bucket")))).alias("q1"), F.max(F.when(at(3), highest(F.col("bucket")))).alias("q3")
+        F.max("size").alias("size"), F.max(F.when(at(tail), lowest(b))).alias("low"),
+        F.max(F.when(at(F.lit(50)), lowest(b))).alias("mid"), F.max(F.when(at(100 - tail), highest(b))).alias("high"),
     )
 
 
-def thresholds(sketches: DataFrame, groups: list[str], rules: tuple[Rule, ...], reach: float, min_group: int) -> DataFrame:
-    """``(groups, low_<metric>, high_<metric>)``; small groups fall back to coarser merges."""
-    levels = [groups[:k] for k in range(len(groups), -1, -1)]
+def thresholds(sketches: DataFrame, groups: list[str], rules: tuple[Rule, ...], min_group: int) -> DataFrame:
+    """``(groups, low_<metric>, high_<metric>, decided_by_floor)``; small groups fall back to coarser merges."""
+    levels, read = [groups[:k] for k in range(len(groups), -1, -1)], ("size", "low", "mid", "high")
     fences = None
     for k, level in enumerate(levels):
-        q = quartiles(sketches if k == 0 else merge(sketches, level), level)
-        q = q.select(*level, "metric", *(F.col(c).alias(f"{c}_{k}") for c in ("size", "q1", "q3")))
+        q = quantiles(sketches if k == 0 else merge(sketches, level), level, rules)
+        q = q.select(*level, "metric", *(F.col(c).alias(f"{c}_{k}") for c in read))
         if fences is None:
             fences = q
             continue
         on = F.col("a.metric") == F.col("b.metric")
         for g in level:
             on &= F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
-        fences = fences.alias("a").join(q.alias("b"), on).select("a.*", *(f"b.{c}_{k}" for c in ("size", "q1", "q3")))
+        fences = fences.alias("a").join(q.alias("b"), on).select("a.*", *(f"b.{c}_{k}" for c in read))
     last = len(levels) - 1
     chosen = {}
-    for c in ("q1", "q3"):
+    for c in read[1:]:
         e = F.col(f"{c}_{last}")
         for k in range(last - 1, -1, -1):
             e = F.when(F.col(f"size_{k}") >= min_group, F.col(f"{c}_{k}")).otherwise(e)
         chosen[c] = e
-    out = []
+    out, floored = [], []
     for r in rules:
-        spread = F.greatest(F.lit(r.floor), chosen["q3"] - chosen["q1"]) * F.lit(reach)
-        this = F.col("metric") == r.metric
-        out += [F.max(F.when(this, chosen["q1"] - spread)).alias(f"low_{r.metric}"), F.max(F.when(this, chosen["q3"] + spread)).alias(f"high_{r.metric}")]
-    return fences.groupBy(*groups).agg(*out)
+        this, up, down = F.col("metric") == r.metric, chosen["high"] - chosen["mid"], chosen["mid"] - chosen["low"]
+        out.append(F.max(F.when(this, chosen["low"] - F.greatest(F.lit(r.floor), down) * r.reach)).alias(f"low_{r.metric}"))
+        out.append(F.max(F.when(this, chosen["high"] + F.greatest(F.lit(r.floor), up) * r.reach)).alias(f"high_{r.metric}"))
+        narrow = (F.lit(r.low) & (down < r.floor)) | (F.lit(r.high) & (up < r.floor))
+        floored.append(F.when(F.max(F.when(this, narrow)), F.lit(r.metric)))
+    return fences.groupBy(*groups).agg(*out, F.concat_ws(",", *floored).alias("decided_by_floor"))
 
 
-def _fences(ws: Workspace, stats: DataFrame, groups: list[str], rules: tuple[Rule, ...], reach: float, min_group: int) -> DataFrame:
+def _fences(ws: Workspace, stats: DataFrame, groups: list[str], rules: tuple[Rule, ...], min_group: int) -> DataFrame:
     """Each group's thresholds, learnt from the documents that pass the base rules."""
     metrics = {r.metric: F.expr(r.value) for r in rules}
-    return ws.save(thresholds(sketch(stats.where("NOT base_failed"), groups, metrics), groups, rules, reach, min_group), "fences")
+    return ws.save(thresholds(sketch(stats.where("NOT base_failed"), groups, metrics), groups, rules, min_group), "fences")
 
 
 def _with_base(measured: DataFrame, min_words: int, max_repeat_percent: int) -> DataFrame:
@@ -199,7 +217,7 @@ def _judged(stats: DataFrame, fences: DataFrame, groups: list[str], rules: tuple
     on = F.lit(True)
     for g in groups:
         on &= F.col(f"s.{g}").eqNullSafe(F.col(f"f.{g}"))
-    bounds = [c for c in fences.columns if c not in groups]
+    bounds = [c for c in fences.columns if c.startswith(("low_", "high_"))]
     rows = stats.alias("s").join(fences.alias("f"), on, "left").select("s.*", *bounds)
     broken = []
     for r in rules:
@@ -215,24 +233,23 @@ def _judged(stats: DataFrame, fences: DataFrame, groups: list[str], rules: tuple
 
 def quality(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), rules: tuple[Rule, ...] = RULES,
-    reach: float = 3.0, min_group: int = 100, min_words: int = 50, max_repeat_percent: int = 50,
+    min_group: int = 100, min_words: int = 50, max_repeat_percent: int = 50,
 ) -> DataFrame:
     """Each row's ``key``, groups, statistics, ``base_failed``, ``failed_rules`` and ``kept``.
 
-    Thresholds are learnt from the documents that pass the base rules and lie
-    ``reach`` spreads beyond a group's quartiles.
+    Thresholds are learnt from the documents that pass the base rules.
     """
     ws, names = Workspace(docs.sparkSession, "quality"), [f"g{i}" for i in range(len(groups))]
     own = docs.select(F.col(key).alias("key"), *(F.col(g).alias(n) for g, n in zip(groups, names, strict=True)), F.col(text).alias("text"))
     stats = _with_base(ws.save(measure(own, "text", "key", *names), "stats"), min_words, max_repeat_percent)
-    rows = _judged(stats, _fences(ws, stats, names, rules, reach, min_group), names, rules)
+    rows = _judged(stats, _fences(ws, stats, names, rules, min_group), names, rules)
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "failed_rules", "kept")
     return rows.select(F.col("key").alias(key), *(F.col(n).alias(g) for n, g in zip(names, groups, strict=True)), *out)
 
 
 def keep(
     docs: DataFrame, *, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), rules: tuple[Rule, ...] = RULES,
-    reach: float = 3.0, min_group: int = 100, min_words: int = 50, max_repeat_percent: int = 50,
+    min_group: int = 100, min_words: int = 50, max_repeat_percent: int = 50,
 ) -> DataFrame:
     """The rows of ``docs`` that pass all rules, as they are.
 
@@ -243,6 +260,6 @@ def keep(
     of = dict(zip(docs.columns, names, strict=True))
     own, by = docs.toDF(*names), [of[g] for g in groups]
     stats = _with_base(ws.save(measure(own, of[text], *by), "stats"), min_words, max_repeat_percent)
-    fences = _fences(ws, stats, by, rules, reach, min_group)
+    fences = _fences(ws, stats, by, rules, min_group)
     rows = _judged(_with_base(measure(own, of[text], *names), min_words, max_repeat_percent), fences, by, rules)
     return rows.where("kept").select(*(F.col(n).alias(c) for c, n in of.items()))

@@ -3,17 +3,22 @@
 Each source's token budget is reached by complete epochs first; what remains is
 a weighted sample without replacement: documents sorted by exponential keys
 ``-ln(u) / weight`` (``u`` a hash of key and text, ``weight`` the document's
-quality), taken while their prefix sum of sizes stays within the budget.
+quality), taken while at least half of the next one fits the prefix sum's budget.
+So a source ends within half a document of its target.
 
-A source may hold most rows, so no window spans a source.  Keys fall into
-buckets of equal hash share; sums by (source, bucket) are pre-aggregated and
-cumulated, and only within one bucket are rows ordered.
+A source may hold most rows, so no window spans a source.  Keys fall into buckets
+of one relative width, 2**(1/1024): whatever the weights, at most a part in e * 1477
+of a source's documents is expected in one.  Sums by (source, bucket) are
+pre-aggregated and cumulated, and only within one bucket are rows ordered.
 
 Defined results: a null text has size 0 and weight as an empty one; null source
 is a source (last in order); repeated rows are counted before they are ordered
-and come back as rows of their own, of which the budget may select some; equal
-keys go in order of document key and size; an empty table gives no rows.  Of a
-source without words nothing is taken.
+and come back as rows of their own, of which the budget may select some; ties
+(equal exponential keys) go in order of document key and size; null keys are hashed as
+the empty key; a very long text counts whole; an empty table gives no rows; extra
+columns, of whatever name, are not read or, in ``mixed``, pass by untouched.  Of a
+source without words nothing is taken, and a source whose epochs meet its target
+selects nothing more, not even empty texts.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 from veldspan.llm.common import WORD, row_id, scanned
 from veldspan.workspace import Workspace
 
-#: Buckets of the exponential keys within a source.
-BUCKETS = 4096
+#: Buckets of the exponential keys to each doubling.
+BUCKETS = 1024
 
 
 def size_of(text: Column) -> Column:
@@ -77,8 +82,8 @@ def _scored(docs: DataFrame, key: str, source: str, text: str, seed: str, *more:
     own = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     u = (F.conv(F.substring(F.md5(own), 1, 8), 16, 10).cast("long") + 0.5) / 4294967296.0
     rows = rows.select(*(c for c in rows.columns if c != "text"), size.alias("size"), u.alias("u"), quality_weight(F.col("text"), size).alias("quality"))
-    # the mass of exp(-key) = u ** (1 / quality) is even within a quality, so its buckets are bounded shares of a source
-    rows = rows.withColumn("sort_key", -F.log("u") / F.col("quality")).withColumn("bucket", F.floor((1 - F.exp(-F.col("sort_key"))) * BUCKETS).cast("int"))
+    # of keys with rate w, x .. x (1 + d) holds w x exp(-w x) d at most, which is d / e for every w: so for every mixture of weights
+    rows = rows.withColumn("sort_key", -F.log("u") / F.col("quality")).withColumn("bucket", F.floor(F.log2("sort_key") * BUCKETS).cast("int"))
     return rows.drop("u", "quality")
 
 
@@ -117,7 +122,7 @@ def mix(
     crossing = joined.where("sure IS NULL").withColumn("before", before)
     out = _each_copy(joined.where("sure IS NOT NULL")).withColumn("selected", F.col("sure")).unionByName(
         _each_copy(crossing).withColumn("selected", F.col("before") + F.col("size") * F.col("copy") + F.col("size") / 2 <= F.col("rest")).drop("before")
-    )
+    ).withColumn("selected", F.col("selected") & (F.col("rest") > 0))
     taken = F.col("size") * (F.col("epochs") + F.col("selected").cast("long"))
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "epochs", "selected", taken.alias("taken"))
 
@@ -144,11 +149,13 @@ def mixed(
     at_cut = rows.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.bucket") == F.col("c.cut")))
     in_order = Window.partitionBy("r.source").orderBy("sort_key", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before_cut") + F.coalesce(F.sum("size").over(in_order), F.lit(0))
-    decided = ws.save(at_cut.select("row", (before + F.col("size") / 2 <= F.col("rest")).alias("chosen")), "decided")
+    chosen = (before + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)
+    decided = ws.save(at_cut.select("row", chosen.alias("chosen")), "decided")
     names = [f"c{i}" for i in range(len(docs.columns))]
     whole = _scored(scan, key, source, text, seed, row_id(scan).alias("row"), *(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    whole = whole.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).select("row", "bucket", *names, "epochs", "cut")
-    sure = whole.where("cut IS NULL OR bucket <> cut").withColumn("copies", F.col("epochs") + F.coalesce(F.col("bucket") < F.col("cut"), F.lit(True)).cast("long"))
+    whole = whole.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).select("row", "bucket", *names, "epochs", "rest", "cut")
+    within = (F.col("rest") > 0) & F.coalesce(F.col("bucket") < F.col("cut"), F.lit(True))
+    sure = whole.where("cut IS NULL OR bucket <> cut").withColumn("copies", F.col("epochs") + within.cast("long"))
     edge = whole.where("bucket = cut").join(decided, "row").withColumn("copies", F.col("epochs") + F.col("chosen").cast("long"))
     out = sure.select(*names, "copies").unionByName(edge.select(*names, "copies")).where("copies > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))

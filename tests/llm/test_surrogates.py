@@ -59,6 +59,74 @@ def test_coreference_gender_and_script(spark):
     assert a.split()[0] in s.GIVEN["m", "latin"] and b.split()[0] in s.GIVEN["f", "latin"] and a.split()[1] == b.split()[1]
 
 
+def test_names_stay_distinct_and_one_whatever_the_title(spark):
+    given = ["Alex", "Terry", "Robin", "Sasha", "Kim", "Jo", "Max", "Sam", "Charlie", "Quinn", "Lee", "Pat"]
+    rows = [f"{t} {g} Kimball" for t in ("Mr.", "Dr.", "Mrs.", "Mx.") for g in given] + ["Dr. Lee Alexander", "Dr. Alexander Lee"]
+    out = texts(spark, *rows)
+    got = {r: out[i]["text"].split() for i, r in enumerate(rows)}
+    names = {g: {got[r][1] for r in rows if r.split()[1:] == [g, "Kimball"]} for g in given}
+    assert all(len(x) == 1 for x in names.values())  # coreference
+    assert len(set.union(*names.values())) == len(given)  # distinctness, across titles
+    assert len({got[r][2] for r in rows[:-2]}) == 1
+    (a, b), (c, d) = got[rows[-2]][1:], got[rows[-1]][1:]
+    surrogates = [x.lower() for x in (*set.union(*names.values()), got[rows[0]][2], b, c, d)]
+    assert len(set(surrogates)) == len(surrogates) and {a} == names["Lee"]  # nor is a given name a surname's surrogate
+
+
+def test_gender_is_what_most_titles_say(spark):
+    out = texts(spark, "Mr. Robin Ashdown", "Mr. Robin Brent", "Mrs. Robin Crewe", "Dr. Robin Dale", "Dr. Toni Dale", "Frau Toni Ashdown")
+    first = {out[i]["text"].split()[1] for i in range(4)}
+    assert len(first) == 1 and first <= set(s.GIVEN["m", "latin"])
+    assert {out[i]["text"].split()[1] for i in (4, 5)} <= set(s.GIVEN["f", "latin"])
+
+
+def test_names_by_context(spark):
+    out = texts(
+        spark, "My name is Priya Sharma and I work. Sharma left.", "Contact Wei Zhang today", "signed by Ngozi Okafor-Bello.", "Later Wei Zhang said no.", "Priya Sharma <p.s@x.org>",
+        "The President said no. General Public License. Apache License was", "By To By To of the Wei Zhang Foundation", "name: Chukwuemekatobechukwuchineduikechukwuolisaemekanwachukwu Ikechukwu-Ezeani",
+    )
+    m = re.fullmatch(r"My name is (\w+) (\w+) and I work\. (\w+) left\.", out[0]["text"]).groups()
+    assert m[1] == m[2] != "Sharma" and m[0] != "Priya"
+    wei = re.fullmatch(r"Contact (\w+ \w+) today", out[1]["text"])[1]
+    assert wei != "Wei Zhang" and re.fullmatch(rf"Later {wei} said no\.", out[3]["text"])
+    assert "Okafor" not in out[2]["text"] and "Ngozi" not in out[2]["text"]
+    assert re.fullmatch(rf"{m[0]} {m[1]} <\S+@\S+>", out[4]["text"])
+    assert out[5]["text"].startswith("The President said no. General Public License.") and out[6]["n_entities"] == 0
+    assert "Chukwu" not in out[7]["text"] and out[7]["n_person"] == 1
+
+
+def test_many_persons_in_one_text_against_brute_force(spark):
+    """Every surname that the text gives is replaced wherever it stands alone, and nothing else changes."""
+    import random
+
+    rng = random.Random(8)
+    surnames = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)).capitalize() for _ in range(300)]
+    parts = [f"Mr. {x} came." for x in surnames[:150]] + [f"{x} went." for x in surnames] + [f"{x}ov stayed." for x in surnames[:50]]
+    rng.shuffle(parts)
+    text = " ".join(parts)
+    out = texts(spark, text)[0]
+    known = set(surnames[:150])
+    before, after = re.findall(r"\w+|\W+", text), re.findall(r"\w+|\W+", out["text"])
+    assert len(before) == len(after)
+    names = {}
+    for x, y in zip(before, after, strict=True):
+        if x in known:
+            assert names.setdefault(x, y) == y != x
+        else:
+            assert x == y
+    assert len(set(names.values())) == len(known) and out["n_person"] == sum(x in known for x in before)
+
+
+def test_secret_is_in_no_plan(spark):
+    df = spark.createDataFrame([(1, "Mr. John Smith 97.51.17.173")], SCHEMA)
+    out = s.pseudonymize(df, "very-secret-value")
+    assert "very-secret-value" not in out._jdf.queryExecution().toString()
+    pieces = spark.createDataFrame([("ip", "1.1.1.1", "u", 0)], "kind string, norm string, gender string, attempt int")
+    key = spark.createDataFrame([("very-secret-value",)], "secret string")
+    plan = pieces.crossJoin(key).withColumn("sur", s.surrogate())._jdf.queryExecution()
+    assert "very-secret-value" not in plan.toString() and "secret" in plan.toString()
+
+
 def test_distinct_entities_stay_distinct_in_a_tiny_space(spark):
     mails = [f"{a}@b.com" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"{n}@b.com" for n in range(10)]
     out = texts(spark, " ".join(mails), " ".join(reversed(mails)))

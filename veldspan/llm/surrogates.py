@@ -1,26 +1,37 @@
 r"""Surrogates for personal data, in DataFrame functions only.
 
 Mail addresses, IPv4 addresses, payment cards (issuer prefix and Luhn digit),
-telephone numbers, IBANs (mod 97) and persons (after a title, or a known given
-name before a capitalised one) are replaced by made-up ones of the same type and
-format: digits stay digits where they stood, cards and IBANs keep valid check
-digits, mail goes to reserved domains, names keep gender, script and case.
+telephone numbers, IBANs (mod 97) and persons are replaced by made-up ones of the
+same type and format: digits stay digits where they stood, cards and IBANs keep
+valid check digits, mail goes to reserved domains, names keep gender, script and case.
+
+A person is a capitalised name after a title, a known given name before a capitalised
+one, or capitalised words that their context shows to be a name: two or three after a
+cue (``name is``, ``contact``, ``signed by`` ...), or the two before a verb of saying or
+a mail address in angle brackets.  Capitalised words without such a sign are left alone.
 
 A surrogate is a keyed hash (SHA-256 of a secret, the entity and an attempt),
 so one entity has one surrogate in all documents.  Distinct entities are gathered
 once, pre-aggregated; in rounds, those whose surrogate is taken by another entity
 or is itself an entity of the corpus try again, until none is left.  So distinct
-entities stay distinct.  Names are mapped token by token: ``Mr. Ann Lee`` and
-``Lee`` share a surname surrogate, and a surname that a document has given with
-a title or given name is found again where it stands alone in that document.
+entities stay distinct.  Names are mapped token by token, whatever the title before
+them: ``Mr. Ann Lee``, ``Dr. Ann Lee`` and ``Lee`` share their surrogates.  A given
+name's gender is that of the list, or else what most of its titles in the corpus say,
+so it is one for all documents; names of all genders, and surnames, are kept apart
+from each other.  A surname that a document has given in a person's full name is found
+again where it stands alone in that document.
+
+The secret comes from a private file of one line, which goes once surrogates are
+assigned, so it isn't in any plan or event log.
 
 Only texts with candidates are shuffled; hot entities are joined on the distinct
 (row, mention) pairs, whose side adaptive execution splits.
 
 Defined results: a null text stays null and has no entities; texts without
 entities come back unchanged; invalid candidates (wrong check digits, octets
-over 255) are left alone; repeated rows and null keys are rows of their own;
-extra columns are not read; an empty table gives no rows.
+over 255) are left alone; repeated rows, ties and null keys are rows of their own;
+a very long text is scanned whole; extra columns, of whatever name, are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspan.workspace import Workspace
+from veldspan.workspace import Workspace, remove, write_text
 
 KINDS = ("email", "phone", "ip", "card", "iban", "person")
 
@@ -46,6 +57,17 @@ GIVEN = {
     ("m", "greek"): "Γιώργος Νίκος Δημήτρης Κώστας".split(),
     ("f", "greek"): "Μαρία Ελένη Αικατερίνη Βασιλική".split(),
 }
+# What stands before a name, whatever its case, and after one; words that begin sentences rather than names.
+CUES = (
+    "name is ", "name: ", "contact ", "contact: ", "author: ", "written by ", "signed by ", "signed, ", "prepared by ", "reported by ", "reviewed by ",
+    "dear ", "attn: ", "sincerely, ", "sincerely,\n", "regards, ", "regards,\n", "patient ", "patient: ", "customer: ", "employee: ",
+    "ich heiße ", "je m'appelle ", "me llamo ", "меня зовут ", "με λένε ",
+)
+SAYING = ("said", "says", "told", "wrote", "writes", "asked", "replied", "added", "explained", "sagte", "schrieb", "dijo", "escribió", "a dit", "a écrit", "сказал", "сказала", "είπε")
+SENTENCE_WORDS = (
+    "The", "A", "An", "This", "That", "These", "Those", "He", "She", "It", "They", "We", "You", "I", "His", "Her", "Its", "Their", "Our", "My", "Your", "In", "On", "At", "For",
+    "From", "With", "And", "But", "Or", "If", "When", "As", "By", "To", "Of", "Der", "Die", "Das", "Ein", "Eine", "Le", "La", "Les", "Un", "Une", "El", "Los", "Las", "Una",
+)
 # Consonants and vowels of made-up names, and their endings by gender.
 SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρσφ", "αειου")}
 ENDINGS = {
@@ -56,9 +78,10 @@ ENDINGS = {
 
 _ALL_TITLES = "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}+"
+_NAME = r"\p{Lu}[\p{L}'’-]++"
+_PAIR = rf"{_NAME}(?: {_NAME}){{1,2}}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])"
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,63}(?![\p{L}\p{N}])"  # labels as long as the domain system allows
 _IP = rf"(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)"
 _CARD = r"(?<!\d[.,])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{5})(?![\p{L}\p{N}])"
 _PHONE = (
@@ -66,9 +89,15 @@ _PHONE = (
     r"|\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,4})(?![\p{L}\p{N}]|[.-]\d)"
 )
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-_PERSON = rf"(?:(?:{_ALL_TITLES})\.? (?:{_NAME} ){{0,2}}{_NAME}|(?:{_ALL_GIVEN})(?: {_NAME}){{1,2}})"
+_SAID = "|".join(SAYING)
+_PERSON = (
+    rf"(?:(?:{_ALL_TITLES})\.? (?:{_NAME} ){{0,2}}{_NAME}|(?:{_ALL_GIVEN})(?: {_NAME}){{1,2}}|(?<=(?iu:{'|'.join(CUES)})){_PAIR}"
+    rf"|(?!(?:{'|'.join(SENTENCE_WORDS)}) ){_NAME} {_NAME}(?= (?:(?:{_SAID})(?![\p{{L}}\p{{N}}])|<[^@\s<>]{{1,64}}@)))"
+)
 #: Everything that may be an entity.  Repeats are bounded or possessive, so no text can exhaust the matcher.
 CANDIDATE = rf"{_EMAIL}|(?<![\p{{L}}\p{{N}}])(?:(?=[\d+(])(?:{_IP}|{_CARD}|{_PHONE})|(?=[\p{{Lu}}гд])(?:{_IBAN}|{_PERSON}))"
+#: The same, and capitalised words by themselves: in a text that gives persons these may be their surnames.
+CANDIDATE_OR_WORD = CANDIDATE + r"|(?<![\p{L}\p{N}])(?:\p{Lu}\p{L}*+(?:['’-]\p{Lu}\p{L}*+)++|\p{Lu}\p{L}++)(?![\p{L}\p{N}])"
 # issuers' prefixes at the lengths that they give out.
 _ISSUER = r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d|9\d)\d{11}|35(?:2[89]|[3-8]\d)\d{12}|6(?:011|5\d\d|4[4-9]\d)\d{12})$"
 MOST_ATTEMPTS = 64
@@ -122,8 +151,8 @@ def _made_up(script: str, role: str) -> str:
     return f"initcap(concat(array_join(transform(sequence(1, 2 + attempt DIV 4), s -> {sound}), ''), {_from(hard, '0')}, '{ENDINGS[script][role]}'))"
 
 
-def surrogate(secret: str) -> Column:
-    """Of ``kind, norm, attempt``; kinds of names are ``given:<gender>:<script>`` and ``surname:<script>``."""
+def surrogate() -> Column:
+    """Of ``secret, kind, norm, gender, attempt``; kinds of names are ``given:<script>`` and ``surname:<script>``."""
     when = ["CASE"]
     local, domain = "substring_index(norm, '@', 1)", "substring_index(norm, '@', -1)"
     more = "CASE WHEN attempt < 4 THEN '' ELSE CAST(attempt AS STRING) END"
@@ -146,13 +175,12 @@ def surrogate(secret: str) -> Column:
         for g in "mfu":
             names = GIVEN["m", script] + GIVEN["f", script] if g == "u" else GIVEN[g, script]
             known = f"element_at(array({', '.join(f"'{n}'" for n in names)}), 1 + {_nibbles('0')} % {len(names)})"
-            when.append(f"WHEN kind = 'given:{g}:{script}' THEN CASE WHEN attempt < 4 THEN {known} ELSE {_made_up(script, g)} END")
+            when.append(f"WHEN kind = 'given:{script}' AND gender = '{g}' THEN CASE WHEN attempt < 4 THEN {known} ELSE {_made_up(script, g)} END")
         when.append(f"WHEN kind = 'surname:{script}' THEN {_made_up(script, 'surname')}")
     sql = " ".join([*when, "END"])
-    key = secret.replace("\\", "\\\\").replace("'", "\\'")
     # the hash is bound once, by a lambda, as it is used many times
-    own = f"sha2(concat_ws('|', '{key}', kind, norm, attempt), 256)"
-    of_domain = f"sha2(concat_ws('|', '{key}', 'domain', {domain}), 256)"
+    own = "sha2(concat_ws('|', secret, kind, norm, attempt), 256)"
+    of_domain = f"sha2(concat_ws('|', secret, 'domain', {domain}), 256)"
     return F.expr(f"element_at(transform(array(named_struct('h', {own}, 'd', {of_domain})), z -> {sql.replace('substr(hd,', 'substr(z.d,').replace('substr(h,', 'substr(z.h,')}), 1)")
 
 
@@ -195,7 +223,7 @@ def classify(raws: DataFrame) -> DataFrame:
     def piece(t: Column, i: Column) -> Column:
         script = F.when(t.rlike(r"\p{IsCyrillic}"), "cyrillic").when(t.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
         last = i == F.size("tokens") - 1
-        of = F.when(last, F.concat(F.lit("surname:"), script)).otherwise(F.concat(F.lit("given:"), F.col("gender"), F.lit(":"), script))
+        of = F.when(last, F.concat(F.lit("surname:"), script)).otherwise(F.concat(F.lit("given:"), script))
         norm = F.when(last, F.regexp_replace(F.lower(t), "(ов|ев|ёв|ин)а$", "$1")).otherwise(F.lower(t))
         return F.struct(of.alias("kind"), norm.alias("norm"))
 
@@ -204,23 +232,44 @@ def classify(raws: DataFrame) -> DataFrame:
 
 
 def assign(pieces: DataFrame, secret: str, ws: Workspace) -> DataFrame:
-    """``kind, norm, sur``: distinct surrogates for the distinct pieces, none of them an entity of the corpus itself.
+    """``kind, norm, sur`` for the distinct ``kind, norm`` of the pieces, whose ``gender`` is a vote for a given name's.
 
-    Given names come from short lists that the corpus holds too; they are only kept apart from each other.
+    Surrogates are distinct among all of one kind, and among all names, and none is an
+    entity of the corpus itself.  Given names come from short lists that the corpus holds
+    too; they are kept apart from other surrogates and from the corpus' surnames.
     """
-    pieces = ws.save(pieces.distinct(), "pieces")
-    known = pieces.where("kind NOT LIKE 'given:%'").select("kind", F.col("norm").alias("sur"))
+    votes = F.sum(F.when(F.col("gender") == "m", 1).when(F.col("gender") == "f", -1).otherwise(0))
+    space = F.when(F.contains("kind", F.lit(":")), "name").otherwise(F.col("kind"))
+    pieces = pieces.groupBy("kind", "norm").agg(votes.alias("votes")).withColumn("space", space)
+    pieces = pieces.withColumn("gender", F.when(F.col("votes") > 0, "m").when(F.col("votes") < 0, "f").otherwise("u")).drop("votes")
+    pieces = ws.save(pieces, "pieces")
+    known = pieces.where("kind NOT LIKE 'given:%'").select("space", F.lower("norm").alias("low"))
+    if not secret:
+        raise ValueError("surrogates need a secret")
+    at = f"{ws.path}/key"
+    write_text(ws.spark, at, secret, private=True)
+    try:
+        key = F.broadcast(ws.spark.read.text(at, wholetext=True).select(F.col("value").alias("secret")))  # one row
+        return _in_rounds(pieces, known, key, ws)
+    finally:
+        remove(ws.spark, at)  # all rounds are written by now
+
+
+def _in_rounds(pieces: DataFrame, known: DataFrame, key: DataFrame, ws: Workspace) -> DataFrame:
     pending, accepted = pieces.withColumn("attempt", F.lit(0)), None
     for k in range(MOST_ATTEMPTS):
-        tried = ws.save(pending.withColumn("sur", surrogate(secret)), f"tried{k}")
-        free = tried.join(known, ["kind", "sur"], "left_anti")
+        tried = pending.crossJoin(key).withColumn("sur", surrogate()).drop("secret").withColumn("low", F.lower("sur"))
+        tried = ws.save(tried, f"tried{k}")
+        free = tried.join(known, ["space", "low"], "left_anti")
         if accepted is not None:
-            free = free.join(accepted, ["kind", "sur"], "left_anti")
-        won = ws.save(free.groupBy("kind", "sur").agg(F.min("norm").alias("norm")).select("kind", "norm", "sur"), f"won{k}")
+            free = free.join(accepted, ["space", "low"], "left_anti")
+        won = free.groupBy("space", "low").agg(F.min(F.struct("kind", "norm", "sur")).alias("w")).select("space", "low", "w.*")
+        won = ws.save(won, f"won{k}")
         accepted = won if accepted is None else accepted.unionByName(won)
-        pending = ws.save(tried.join(won, ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), f"pending{k}")
+        pending = tried.join(won, ["kind", "norm"], "left_anti").select("kind", "norm", "space", "gender", (F.col("attempt") + 1).alias("attempt"))
+        pending = ws.save(pending, f"pending{k}")
         if pending.isEmpty():
-            return accepted
+            return accepted.select("kind", "norm", "sur")
     raise RuntimeError(f"{MOST_ATTEMPTS} attempts left entities without a surrogate of their own")
 
 
@@ -249,19 +298,21 @@ def _formatted(raws: DataFrame, surrogates: DataFrame) -> DataFrame:
 
 
 def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``row, key, text, pattern, found``: each text's candidates by its own pattern.
+    """``row, key, text, persons, found, mentions``: what the text's pattern finds, and what of it may be an entity.
 
-    The pattern of a text that gives persons also finds their surnames alone.
+    In a text that gives persons, capitalised words are found too and are mentions if they are
+    a person's surname: a lookup for each word, so nothing grows with the number of persons.
     """
+    none = F.array().cast("array<string>")
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    own = own.withColumn("first", F.coalesce(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>")))
+    own = own.withColumn("first", F.coalesce(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), none))
     person = F.filter("first", lambda r: r.rlike(r"^[^@]*$") & r.rlike(r" \p{Lu}[^ ]{2,}$") & ~r.rlike("[0-9]"))
-    surnames = F.transform(person, lambda r: F.substring_index(r, " ", -1))
-    surnames = F.array_union(surnames, F.transform(surnames, F.upper))
-    alone = F.concat(F.lit(CANDIDATE + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    own = own.withColumn("pattern", F.when(F.size(surnames) > 0, alone))
-    found = F.when(F.col("pattern").isNull(), F.col("first")).otherwise(F.regexp_extract_all("text", "pattern", F.lit(0)))
-    return own.select(F.monotonically_increasing_id().alias("row"), "key", "text", "pattern", found.alias("found"))
+    surnames = F.array_distinct(F.transform(person, lambda r: F.substring_index(r, " ", -1)))
+    own = own.withColumn("surnames", F.array_union(surnames, F.transform(surnames, F.upper))).withColumn("persons", F.size("surnames") > 0)
+    found = F.when(F.col("persons"), F.regexp_extract_all("text", F.lit(CANDIDATE_OR_WORD), F.lit(0))).otherwise(F.col("first"))
+    own = own.withColumn("found", found)
+    mentions = F.when(F.col("persons"), F.array_intersect("found", F.array_union("first", "surnames"))).otherwise(F.array_distinct("found"))
+    return own.select(F.monotonically_increasing_id().alias("row"), "key", "text", "persons", "found", mentions.alias("mentions"))
 
 
 def pseudonymize(docs: DataFrame, secret: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,9 +320,9 @@ def pseudonymize(docs: DataFrame, secret: str, *, key: str = "doc_id", text: str
     ws = Workspace(docs.sparkSession, "surrogates")
     scanned = ws.save(_scan(docs, key, text).withColumn("some", F.size("found") > 0), "scanned", "some")
     some = scanned.where("some")
-    mentions = some.select("row", F.explode(F.array_distinct("found")).alias("raw"))
+    mentions = some.select("row", F.explode("mentions").alias("raw"))
     raws = ws.save(classify(mentions.select("raw").distinct()), "raws")
-    surrogates = assign(raws.select(F.explode("pieces").alias("p")).select("p.*"), secret, ws)
+    surrogates = assign(raws.select(F.explode("pieces").alias("p"), "gender").select("p.*", "gender"), secret, ws)
     formatted = ws.save(_formatted(raws, surrogates), "formatted")
     # a document's mentions come together again, with no text on the way
     known = mentions.join(formatted, "raw").groupBy("row").agg(F.collect_list(F.struct("raw", "kind", "sur")).alias("known"))
@@ -280,7 +331,7 @@ def pseudonymize(docs: DataFrame, secret: str, *, key: str = "doc_id", text: str
     joined = joined.withColumn("known", F.coalesce("known", none))
     joined = joined.withColumn("as", F.map_from_entries(F.transform("known", lambda k: F.struct(k["raw"], F.struct(k["kind"], k["sur"])))))
     joined = joined.withColumn("hits", F.transform("found", lambda r: F.try_element_at("as", r)))
-    between = F.when(F.col("pattern").isNull(), F.split("text", CANDIDATE, -1)).otherwise(F.split("text", F.col("pattern"), -1))
+    between = F.when(F.col("persons"), F.split("text", CANDIDATE_OR_WORD, -1)).otherwise(F.split("text", CANDIDATE, -1))
     filled = F.zip_with("found", "hits", lambda r, h: F.coalesce(h["sur"], r))
     whole = F.array_join(F.zip_with(between, filled, lambda b, f: F.concat(b, F.coalesce(f, F.lit("")))), "")
 

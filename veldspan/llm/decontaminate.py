@@ -14,7 +14,10 @@ runs by shuffling words.  Both ways give the same rows.
 
 Defined results: a null text has no words; rows are judged each by itself, so
 repeated rows and null keys are kept apart; items without words are never hit;
-items of equal key count once; empty tables give no hits or no rows.
+items of equal key count once; of words equally rare the least is the prefix, which
+changes no result; a very long text is searched whole; extra columns, of whatever
+name, are not read or, in ``clean``, pass by untouched; empty tables give no hits or
+no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from veldspan.llm.common import numbered
 from veldspan.workspace import Workspace
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_LITERALS = 50_000
 
@@ -37,7 +41,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def windows_of(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -58,8 +62,8 @@ def count_words(docs: DataFrame, text: str, vocabulary: DataFrame, max_literals:
     """``(word, n)``: occurrences of the vocabulary's words in all documents; to be broadcast if they are at most ``max_literals``."""
     words = words_of(F.col(text))
     if (known := _few(vocabulary, "word", max_literals)) is not None:
-        own = F.filter(words, lambda w: w.isin(known)) if known else F.array().cast("array<string>")
-        return F.broadcast(docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+        own = docs.select(F.explode(words).alias("word")).where(F.col("word").isin(known) if known else F.lit(False))
+        return F.broadcast(own.groupBy("word").agg(F.count("*").alias("n")))
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word", "left_semi")
 
 

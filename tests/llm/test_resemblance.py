@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from tests.llm import brute
 from veldspan.llm import resemblance
+from veldspan.workspace import Workspace
 
 
 def shingles(text):
@@ -70,3 +72,42 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     assert sorted(map(str, (r.doc_id for r in resemblance.deduplicate(docs).collect()))) == ["2", "4", "None"]
     assert resemblance.deduplicate(docs.limit(0)).isEmpty()
+
+
+def test_a_large_family_costs_no_pairs(spark, monkeypatch):
+    """A text and copies with up to 14 words replaced: most pairs share a band, few are similar."""
+    rng, compared, similar = random.Random(5), [], resemblance._similar
+    base = [f"b{i}" for i in range(150)]
+    texts = [(0, " ".join(base))]
+    for k in range(1, 400):
+        text = list(base)
+        for i in rng.sample(range(150), rng.randrange(1, 15)):
+            text[i] = f"e{k}x{i}"
+        texts.append((k, " ".join(text)))
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return similar(pairs, sets)
+
+    monkeypatch.setattr(resemblance, "_similar", counted)
+    got = resemblance.deduplicate(spark.createDataFrame(texts, "doc_id long, text string"))
+    want = expected(texts)
+    assert 100 < len(want) < 390 and sorted(r.doc_id for r in got.collect()) == want
+    assert sum(compared) < 4 * len(texts)  # of 79,800
+
+
+def test_similar_sets_meet_in_the_index(spark):
+    """Sets of 1 to 120 shingles, around the bound and of unequal sizes, before anything is linked."""
+    rng, sets = random.Random(3), []
+    for size in [*range(1, 21), 45, 80, 120]:
+        whole = [rng.getrandbits(63) for _ in range(size)]
+        sets.append(set(whole))
+        for _ in range(12):
+            kept = set(rng.sample(whole, size - rng.randrange(size // 4 + 1)))
+            sets.append(kept | {rng.getrandbits(63) for _ in range(rng.randrange(size // 6 + 2))})
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    ws = Workspace(spark, "index-test")
+    frame = spark.createDataFrame([(k, np.sort(np.array(list(x), "<u8")).tobytes()) for k, x in enumerate(sets)], "sid long, hashes binary")
+    none = spark.createDataFrame([], "node long, component long")
+    met = {tuple(r) for r in resemblance._across(resemblance._index(frame, ws), none, ws).collect()}
+    assert len(near) > 300 and near <= met and len(met) < len(sets) * (len(sets) - 1) // 4

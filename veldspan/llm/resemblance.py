@@ -6,14 +6,19 @@ from minimum hashes too, and whole sets decide.
 
 Two documents are linked if the Jaccard similarity of their sets of five-word
 shingles is at least 0.8, computed on the whole sets, or if their SimHash
-fingerprints are linked (``simhash``).  Candidates are the pairs that share one
-of 32 bands of 5 minimum hashes: at a similarity of 0.8 a pair shares none with
+fingerprints are linked (``simhash``).  Sets that share one of 32 bands of 5 minimum
+hashes with another are candidates: at a similarity of 0.8 a pair shares none with
 a chance of 3 in a million, above it with less.
 
-A bucket's members are first compared with its least and its greatest set; what
-that links needs no more comparing.  In buckets that still hold several components
-all pairs across components are compared, however many: nothing is capped.  Pairs
-whose sizes alone rule 0.8 out are left out, and a pair is compared once.
+Which candidates to compare, an index of their rarest shingles tells (prefix and
+positions, Xiao et al., WWW 2008).  Sets of ``n`` and ``m`` shingles are similar only
+if they share ``4 (n + m) / 9`` of them, so the rarest that they share has at least
+as many from it on in either set.  Texts that grew out of one text differ from it in
+rare shingles, so a large family whose members aren't similar hardly meets in the
+index.  Each shingle's sets are first compared with the one that has least before
+it; what that links needs no more comparing.  Then all pairs that meet across
+components are compared, however many: nothing is capped or left to chance.
+Entries are keyed by sizes as well, so a bucket holds what may fit.
 
 Words are split and lowered as in ``simhash``; a text of fewer words than a shingle
 has one shingle.  Documents of equal sets are one node.
@@ -29,7 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspan.components import connected_components
@@ -39,6 +44,8 @@ from veldspan.workspace import Workspace
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
+#: Sizes of one class of the index differ by this factor at most.
+WIDTH = 1.05
 #: Shingles that are hashed at once, so that a long text takes no more memory.
 _AT_ONCE = 4096
 _SEEDS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
@@ -107,19 +114,52 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), each, "a long, b long")
 
 
-def _could(n: str, m: str):
-    """Sizes that allow the similarity."""
-    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+def _candidates(table: DataFrame, ws: Workspace) -> DataFrame:
+    """``sid`` of the sets that share a band with another."""
+    members = table.where("n > 0").groupBy("sid").agg(F.first("bands").alias("bands")).select("sid", F.explode("bands").alias("h"))
+    shared = members.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
+    return ws.save(members.join(shared, "h", "left_semi").select("sid").distinct(), "candidates")
 
 
-def _candidates(table: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """``members (h, sid, n)`` of each band's buckets of several sets, and ``stars (a, b)`` of each bucket's least and greatest set."""
-    nodes = table.where("n > 0").groupBy("sid", "n").agg(F.first("bands").alias("bands"))
-    members = nodes.select("sid", "n", F.explode("bands").alias("h"))
-    ends = members.groupBy("h").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max(F.struct("sid", "n")).alias("hi")).where("lo.sid <> hi.sid")
-    ends = ws.save(members.join(ends, "h"), "members")
-    stars = ends.select("sid", "n", F.explode(F.array("lo", "hi")).alias("e")).where("sid <> e.sid").where(_could("n", "e.n"))
-    return ends.select("h", "sid", "n"), ws.save(stars.select(F.least("sid", "e.sid").alias("a"), F.greatest("sid", "e.sid").alias("b")).distinct(), "stars")
+def _index(sets: DataFrame, ws: Workspace) -> DataFrame:
+    """``t, sid, n, rest``: the shingles that may be the rarest which a set of ``n`` shares with a similar one; ``rest`` are as frequent or more, itself included."""
+
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
+        n = [len(x) for x in hashes]
+        return batch(sid=pa.array(np.repeat(b.column(0).to_numpy(), n)), n=pa.array(np.repeat(n, n), pa.int64()), t=pa.array(np.concatenate(hashes)))
+
+    shingle = arrow_map(sets.select("sid", "hashes"), each, "sid long, n long, t long")
+    common = shingle.groupBy("t").agg(F.count("*").alias("sets")).where("sets > 1")  # those of one set are the rarest, and lead to none
+    rest = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("sets"), F.desc("t"))).cast("long")
+    return ws.save(shingle.join(common, "t").select("t", "sid", "n", rest.alias("rest")).where("(4 * n + 4) div 5 <= 9 * rest div 4 - n"), "index")
+
+
+def _fits(n: str, rest: str, m: str, far: str) -> Column:
+    """The positions of a shared shingle allow the similarity, if it is the rarest that is shared."""
+    return 4 * (F.col(n) + F.col(m)) <= 9 * F.least(rest, far)
+
+
+def _stars(index: DataFrame, ws: Workspace) -> DataFrame:
+    """Pairs ``(a, b)`` of each shingle's sets with the one that has least before it."""
+    ends = index.groupBy("t").agg(F.max(F.struct((F.col("rest") / F.col("n")).alias("share"), "sid", "n", "rest")).alias("e"))
+    met = index.join(ends, "t").where("sid <> e.sid").where(_fits("n", "rest", "e.n", "e.rest"))
+    return ws.save(met.select(F.least("sid", "e.sid").alias("a"), F.greatest("sid", "e.sid").alias("b")).distinct(), "stars")
+
+
+def _across(index: DataFrame, parts: DataFrame, ws: Workspace) -> DataFrame:
+    """All pairs ``(a, b)`` of different components that meet in the index."""
+    named = ws.save(_named(index, parts, "sid"), "named")
+    sizes = named.groupBy("t", "part").agg(F.count("*").alias("k")).groupBy("t").agg(F.max(F.struct("k", "part")).alias("most"), F.count("*").alias("parts"))
+    size_class = lambda n: F.floor(F.log(F.expr(n)) / F.log(F.lit(WIDTH))).cast("int")
+    fitting = F.sequence(size_class("(4 * n + 4) div 5"), size_class("least(5 * n div 4, 9 * rest div 4 - n)"))
+    rows = named.join(sizes.where("parts > 1"), "t").select("t", "sid", "n", "rest", "part", F.expr("part = most.part").alias("largest"), size_class("n").alias("own"), F.explode(fitting).alias("to"))
+    rows = ws.save(rows, "several")
+    # a shingle's largest component isn't compared with itself
+    left = rows.where("NOT largest").select("t", "own", "to", F.col("sid").alias("a"), "n", "rest", "part")
+    right = rows.select("t", F.col("to").alias("own"), F.col("own").alias("to"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("far"), F.col("part").alias("other"), "largest")
+    met = left.join(right, ["t", "own", "to"]).where("part <> other AND (largest OR a < b)").where(_fits("n", "rest", "m", "far"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _by_fingerprint(table: DataFrame, ws: Workspace) -> DataFrame:
@@ -139,18 +179,14 @@ def _named(nodes: DataFrame, parts: DataFrame, column: str) -> DataFrame:
 
 def groups(table: DataFrame, rows: DataFrame, text: str, ws: Workspace) -> DataFrame:
     """``sid, part`` of the sets that are linked to others; only texts with a candidate are read again."""
-    members, stars = _candidates(table, ws)
-    one = table.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("key.row").alias("__row"))
+    one = table.join(_candidates(table, ws), "sid", "left_semi").groupBy("sid").agg(F.min("key.row").alias("__row"))
     sets = ws.save(_sets(rows.join(ws.save(one, "one"), "__row"), text), "sets")
+    index = _index(sets, ws)
+    stars = _stars(index, ws)
     links = _by_fingerprint(table, ws).unionByName(ws.save(_similar(stars, sets), "links"))
     parts = ws.save(connected_components(links, "a", "b"), "parts")
-    # what several components of a bucket may still link
-    named = ws.save(_named(members, parts, "sid"), "named")
-    several = named.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("h")
-    left = ws.save(named.join(several, "h", "left_semi"), "several")
-    right = left.select("h", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-    across = left.withColumnRenamed("sid", "a").join(right, "h").where("a < b AND part <> other").where(_could("n", "m")).select("a", "b").distinct()
-    more = ws.save(_similar(ws.save(across.join(stars, ["a", "b"], "left_anti"), "across"), sets), "more")
+    across = _across(index, parts, ws).join(stars, ["a", "b"], "left_anti")
+    more = ws.save(_similar(ws.save(across, "across"), sets), "more")
     own = parts.select(F.col("node").alias("sid"), "component")
     if more.isEmpty():
         return own.withColumnRenamed("component", "part")

@@ -7,15 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspan.components import connected_components
+from veldspan.components import component_numbers, connected_components
 from veldspan.functions.refs import curie
 from veldspan.registry import REGISTRY
 
 
-def components(rows: DataFrame) -> DataFrame:
-    """``(prefix, id, component)`` of each concept; a component is named by its least CURIE."""
+def components(rows: DataFrame, *, named: bool = True) -> DataFrame:
+    """``(prefix, id, component)`` of each concept; a component is named by its least CURIE, or if not ``named`` by some long."""
     edges = rows.select(curie("s_prefix", "s_id").alias("a"), curie("o_prefix", "o_id").alias("b"))
-    parts = connected_components(edges, "a", "b")
+    parts = (connected_components if named else component_numbers)(edges, "a", "b")
     split = F.split("node", ":", 2)
     return parts.select(split[0].alias("prefix"), split[1].alias("id"), "component")
 
@@ -37,8 +37,22 @@ def aggregate_components(rows: DataFrame, prefixes: str | Iterable[str] | None =
 
 
 def component_sizes(rows: DataFrame, prefixes: str | Iterable[str] | None = None) -> DataFrame:
-    """``(prefixes, n)``: components by their set of prefixes."""
-    return aggregate_components(rows, prefixes).groupBy("prefixes").agg(F.count("*").alias("n"))
+    """``(prefixes, n)``: components by their set of prefixes.
+
+    With an allow-list of up to 63 prefixes a component's set is one long with a bit for each.
+    """
+    allowed = None if prefixes is None else sorted(REGISTRY.normalize_all(prefixes))
+    if allowed is None or len(allowed) > 63:
+        return aggregate_components(rows, prefixes).groupBy("prefixes").agg(F.count("*").alias("n"))
+    bit = F.lit(0).cast("long")
+    for k, prefix in enumerate(allowed):
+        bit = F.when(F.col("prefix") == prefix, F.lit(1 << k).cast("long")).otherwise(bit)
+    own = components(rows, named=False).groupBy("component").agg(F.bit_or(bit).alias("bits"))
+    sizes = own.groupBy("bits").agg(F.count("*").alias("n"))
+    named = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << k).cast("long")) != 0, prefix) for k, prefix in enumerate(allowed))))
+    named = F.when(F.col("bits") == 0, F.array().cast("array<string>")).otherwise(named)
+    # components without any member left are one
+    return sizes.select(named.alias("prefixes"), F.when(F.col("bits") == 0, F.lit(1).cast("long")).otherwise(F.col("n")).alias("n"))
 
 
 def coverage_of(sizes: DataFrame) -> DataFrame:

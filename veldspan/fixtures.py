@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veldspan.functions.refs import curie
 from veldspan.schema import MAPPING_SETS_SCHEMA, ROW, TRIPLE
+from veldspan.workspace import literal
 
 PRIORITY = ["mesh", "doid", "efo", "umls"]
 NEGATIVE = "l_quantity = 50"
@@ -49,7 +50,7 @@ def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mapping_sets(spark: SparkSession) -> DataFrame:
     data = [("set-F", "F-set", None, None, None, "mesh"), ("set-O", "O-set", "https://creativecommons.org/publicdomain/zero/1.0/", "1", 0.9, "doid")]
-    return spark.createDataFrame(data, MAPPING_SETS_SCHEMA)
+    return literal(spark, data, MAPPING_SETS_SCHEMA)
 
 
 def exact_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,19 @@ from veldspan.schema import IDENTITY, PAYLOAD, ROW, TRIPLE
 def deduplicate_evidence(rows: DataFrame) -> DataFrame:
     """One row of each evidence of a triple; of rows that differ in payload alone, one stays whole: the greatest, nulls least."""
     whole = F.max(F.struct(*PAYLOAD)).alias("payload")
-    return rows.groupBy(*TRIPLE, *IDENTITY).agg(whole).select(*TRIPLE, *IDENTITY, "payload.*").select(*ROW)
+    first = F.xxhash64(*TRIPLE, *IDENTITY).alias("_hash")  # such a maximum sorts by the keys: a hash decides nearly all comparisons
+    return rows.groupBy(first, *TRIPLE, *IDENTITY).agg(whole).select(*TRIPLE, *IDENTITY, "payload.*").select(*ROW)
+
+
+def confidences(rows: DataFrame) -> DataFrame:
+    """``(triple, confidence)`` of each evidence, each once: what ``deduplicate_evidence`` keeps of it, without its payload's texts.
+
+    Confidence leads the payload, so the greatest payload has the greatest confidence.  What evidence
+    derives from counts by its 128-bit digest.
+    """
+    source = F.when(F.col("derived_from").isNotNull(), F.unhex(F.md5(F.array_join("derived_from", "\x01", "\x00")))).alias("_source")
+    own = rows.groupBy(*TRIPLE, *(c for c in IDENTITY if c != "derived_from"), source).agg(F.max("confidence").alias("confidence"))
+    return own.select(*TRIPLE, "confidence")
 
 
 def assemble(rows: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def query(f: Query) -> Query:
 
 def summed(rows: DataFrame) -> DataFrame:
     """Distinct evidence summed up by triple."""
-    return asm.deduplicate_evidence(rows).groupBy(*TRIPLE).agg(rounded(noisy_or("confidence")).alias("confidence"), F.count("*").alias("n_evidence"))
+    return asm.confidences(rows).groupBy(*TRIPLE).agg(rounded(noisy_or("confidence")).alias("confidence"), F.count("*").alias("n_evidence"))
 
 
 def _filtered(name: str, f: Callable[[DataFrame, SparkSession, str], DataFrame]) -> None:
@@ -414,7 +414,7 @@ def component_lookup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapping_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least mapping by id, with its evidence."""
     g = _graph(spark, sf_dir)
-    one = g.mapping_nodes.agg(F.min("curie")).first()[0]
+    one = g.first_mapping()
     return _number(g.mapping(one)).select("mapping", "subject", "subject_name", "predicate", "object", "object_name", "justification", "confidence", "mapping_set", "author")
 
 

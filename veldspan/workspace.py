@@ -10,9 +10,11 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -78,6 +80,15 @@ class Workspace:
         remove(self.spark, f"{self.path}/{name}" if name else self.path)
 
 
+def literal(spark: SparkSession, data: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows as literals of the plan: unlike those of ``createDataFrame`` the planner knows that they are few."""
+    types = StructType.fromDDL(schema).fields
+    if not data:
+        return spark.createDataFrame([], schema)
+    lines = (F.struct(*(F.lit(v).cast(t.dataType).alias(t.name) for v, t in zip(row, types, strict=True))) for row in data)
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*lines)))
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
